@@ -41,8 +41,8 @@ def _split_compounds(spark, sf):
 
 
 def vocab_encode(spark, sf):
-    coded = tokens.encode_symbols(
-        _split_compounds(spark, sf), "parts", _vocabulary(spark, sf), "ids", "p_partkey", unknown=1
+    coded = tokens.encode_columns(
+        _split_compounds(spark, sf), {"parts": "ids"}, _vocabulary(spark, sf), "p_partkey", unknown=1
     )
     return coded.select("p_partkey", _text("ids").alias("ids"))
 

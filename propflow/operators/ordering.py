@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from propflow.session import materialize
@@ -12,22 +17,37 @@ from propflow.session import materialize
 _LOCAL_BITS = 33
 
 
+def _placed(sorted_rows: DataFrame) -> DataFrame:
+    """Adds partition `_part` and place `_place` of each row as it lies."""
+    return (
+        sorted_rows.withColumn("_at", F.monotonically_increasing_id())
+        .withColumns(
+            {
+                "_part": F.shiftright("_at", _LOCAL_BITS).cast("int"),
+                "_place": F.col("_at").bitwiseAND((1 << _LOCAL_BITS) - 1),
+            }
+        )
+        .drop("_at")
+    )
+
+
 def range_sorted(df: DataFrame, *order: str) -> DataFrame:
     """Rows in range partitions, each sorted, with partition `_part` and place `_place`.
 
     Range bounds come from a sample, so the rows are written down once: all later
     reads see the same partitions, also after an executor is lost.
     """
-    at = F.monotonically_increasing_id()
-    tagged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
-    return materialize(
-        tagged.withColumns(
-            {
-                "_part": F.shiftright("_at", _LOCAL_BITS).cast("int"),
-                "_place": F.col("_at").bitwiseAND((1 << _LOCAL_BITS) - 1),
-            }
-        ).drop("_at")
-    )
+    return materialize(_placed(df.repartitionByRange(*order).sortWithinPartitions(*order)))
+
+
+def _running_total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the count column `_c` by its running total `_to`, batch after batch."""
+    total = 0
+    for batch in batches:
+        upto = pc.cumulative_sum(batch.column("_c"), start=total)
+        if len(upto):
+            total = upto[-1].as_py()
+        yield pa.RecordBatch.from_arrays([batch.column("_x"), batch.column("_c"), upto], ["_x", "_c", "_to"])
 
 
 def global_rank(df: DataFrame, *order: str, out: str = "rank", first: int = 1) -> DataFrame:
@@ -82,8 +102,11 @@ class OrderStatistics:
             .groupBy("_x")
             .agg(F.count(F.lit(1)).alias("_c"))
         )
-        self._rows = range_sorted(counts, "_x")
-        totals = self._rows.groupBy("_part").agg(F.sum("_c").alias("_n")).orderBy("_part").collect()
+        ordered = counts.repartitionByRange("_x").sortWithinPartitions("_x")
+        totalled = ordered.mapInArrow(_running_total, "_x double, _c bigint, _to bigint")
+        self._rows = materialize(_placed(totalled).select("_x", "_c", "_to", "_part"))
+        totals = self._rows.groupBy("_part").agg(F.max("_to").alias("_n")).collect()
+        totals.sort(key=lambda row: row._part)
         self._parts = [row._part for row in totals]
         self._ends = list(accumulate(row._n for row in totals))
         self.n = self._ends[-1] if totals else 0
@@ -95,27 +118,22 @@ class OrderStatistics:
             return {}
         if wanted[0] < 0 or wanted[-1] >= self.n:
             raise ValueError(f"ranks {wanted} outside 0..{self.n - 1}")
-        homes = {rank: bisect_right(self._ends, rank) for rank in wanted}
         starts = [0, *self._ends]
-        local = F.sum("_c").over(W.partitionBy("_part").orderBy("_x"))
-        cells = (
-            self._rows.where(F.col("_part").isin(sorted({self._parts[h] for h in homes.values()})))
-            .withColumn("_to", local)
-            .withColumn("_from", F.col("_to") - F.col("_c"))
-        )
-        hits = F.array(
-            *(
-                F.when(
-                    (F.col("_part") == self._parts[home])
-                    & (F.col("_from") <= rank - starts[home])
-                    & (F.col("_to") > rank - starts[home]),
-                    F.lit(rank),
-                )
-                for rank, home in homes.items()
-            )
-        )
-        found = cells.select(F.explode(F.array_compact(hits)).alias("rank"), "_x").collect()
-        return {row.rank: row._x for row in found}
+        places = {}
+        for rank in wanted:
+            home = bisect_right(self._ends, rank)
+            places[self._parts[home], rank - starts[home]] = rank
+        to, part = F.col("_to"), F.col("_part")
+        wanted_cells = [
+            (part == home) & (to > place) & (to - F.col("_c") <= place) for home, place in places
+        ]
+        cells = self._rows.where(reduce(or_, wanted_cells)).collect()
+        return {
+            rank: cell._x
+            for (home, place), rank in places.items()
+            for cell in cells
+            if cell._part == home and cell._to - cell._c <= place < cell._to
+        }
 
     def quantiles(self, points: list[float]) -> list[float]:
         """Linearly interpolated quantiles."""

@@ -57,25 +57,33 @@ def _lookup(symbols: list[str], ids: list[int], unknown: int):
     return encode
 
 
-def encode_symbols(
+def encode_columns(
     df: DataFrame,
-    symbols: str,
+    columns: dict[str, str],
     vocabulary: DataFrame,
-    out: str,
     key: str,
     unknown: int = 0,
     driver_limit: int = DRIVER_VOCABULARY,
 ) -> DataFrame:
-    """Adds the index array of a symbol array; symbols outside the vocabulary give `unknown`.
+    """Adds index arrays of symbol arrays (`columns`: array to new name).
 
-    A vocabulary within `driver_limit` travels with the tasks. A larger one is
-    joined symbol by symbol, and `key` (unique per row) puts the arrays together.
+    Symbols outside the vocabulary give `unknown`. A vocabulary within
+    `driver_limit` travels with the tasks. A larger one is joined symbol by symbol,
+    and `key` (unique per row) puts the arrays together again.
     """
     small = vocabulary.select("symbol", "idx").limit(driver_limit + 1).collect()
     if len(small) <= driver_limit:
         pairs = sorted((row.symbol, row.idx) for row in small)
         encode = _lookup([s for s, _ in pairs], [i for _, i in pairs], unknown)
-        return df.withColumn(out, encode(F.col(symbols)))
+        return df.withColumns({out: encode(F.col(symbols)) for symbols, out in columns.items()})
+    for symbols, out in columns.items():
+        df = _encode_by_join(df, symbols, vocabulary, out, key, unknown)
+    return df
+
+
+def _encode_by_join(
+    df: DataFrame, symbols: str, vocabulary: DataFrame, out: str, key: str, unknown: int
+) -> DataFrame:
     tokens = df.select(key, F.posexplode(symbols).alias("_at", "symbol"))
     coded = tokens.join(vocabulary.select("symbol", "idx"), "symbol", "left")
     code = F.coalesce("idx", F.lit(unknown)).alias("_code")
@@ -98,7 +106,7 @@ def encode_padded(
 ) -> DataFrame:
     """Index arrays of one length; `oov="pad"` gives unknown symbols the pad index."""
     missing = pad if oov == "pad" else unknown
-    coded = encode_symbols(df, symbols, vocabulary, out, key, missing)
+    coded = encode_columns(df, {symbols: out}, vocabulary, key, missing)
     return coded.withColumn(out, pad_right(F.col(out), length, pad))
 
 

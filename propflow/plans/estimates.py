@@ -14,6 +14,7 @@ from propflow.functions.responses import memo_key, parse_short_response
 from propflow.operators import context, evaluate, inference
 from propflow.operators.crosswalk import attach_ids, build_crosswalk, unwrap_singletons
 from propflow.operators.exemplars import pick_exemplars
+from propflow.session import materialize
 
 ENDPOINTS = ["milligrams_per_cubic_meter", "parts_per_million"]
 
@@ -62,13 +63,14 @@ def estimate_entities(
     mg, ppm = endpoint_columns
     details = annotation_context(rows, "dsstox", order, keywords)
     asked = context.summary_prompts(context.attach_context(entities, details, "dsstox"), "name")
-    asked = asked.withColumn("memo_key", memo_key("refine", version, "prompt"))
+    # each is read for the misses and again for the answers: build the texts once
+    asked = materialize(asked.withColumn("memo_key", memo_key("refine", version, "prompt")))
     refined = inference.memoised_infer(asked, ["prompt"], refine, f"{memo_path}/refine")
     picked = pick_exemplars(measured, mg, measured_id)
     examples = context.exemplar_table(picked, measured_name, mg, ppm, [mg, measured_id])
     text = inference.refined_prompt(F.col("result"), F.col("prompt"))
     full = context.estimate_prompts(refined, "name", examples, text).select("dsstox", "name", "full_prompt")
-    requests = inference.explode_endpoints(full, ENDPOINTS)
+    requests = inference.explode_endpoints(materialize(full), ENDPOINTS)
     requests = requests.withColumn("memo_key", memo_key("estimate", version, "endpoint", "full_prompt"))
     answers = inference.memoised_infer(requests, ["full_prompt", "endpoint"], model, f"{memo_path}/estimate")
     wide = inference.gather_endpoints(answers, ["dsstox", "name"], ENDPOINTS)

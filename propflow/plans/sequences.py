@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from propflow.fixed_values import SEPARATOR_SYMBOLS
 from propflow.functions.symbols import labels_of, pack_sequence, split_symbols
 from propflow.operators.split import split_exact
-from propflow.operators.tokens import encode_symbols, extend_vocabulary, fit_vocabulary, pad_to_longest
+from propflow.operators.tokens import encode_columns, extend_vocabulary, fit_vocabulary, pad_to_longest
 from propflow.session import materialize
 
 SPECIALS = ["<pad>", "<unk>", "<sos>", *SEPARATOR_SYMBOLS]
@@ -39,13 +39,12 @@ def tokenised(
         }
     )
     ids = {name: i for i, name in enumerate(SPECIALS)}
-    coded = known
-    for source, out in {
+    names = {
         "_symbols": "split_selfies_tokenized",
         "_prop": "property_tokenized",
         "_value": "value_tokenized",
-    }.items():
-        coded = encode_symbols(coded, source, vocabulary, out, key, ids["<unk>"])
+    }
+    coded = encode_columns(known, names, vocabulary, key, ids["<unk>"])
     tensor = pack_sequence(
         F.col("split_selfies_tokenized"),
         F.col("property_tokenized"),
