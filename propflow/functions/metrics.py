@@ -8,12 +8,13 @@ from pyspark.sql import Column, functions as F
 def regression_metrics(actual: Column, predicted: Column, digits: int | None = None) -> list[Column]:
     """n, corr, mae, rmse and r2 over the pairs without nulls, all in one aggregation."""
     complete = actual.isNotNull() & predicted.isNotNull()
-    a = F.when(complete, actual)
-    gap = F.when(complete, actual - predicted)
-    pearson = F.corr(actual, predicted)
+    a, p = F.when(complete, actual), F.when(complete, predicted)
+    gap = a - p
+    # F.corr divides by zero on a constant column
+    pearson = F.try_divide(F.covar_pop(a, p), F.stddev_pop(a) * F.stddev_pop(p))
     spread = F.var_pop(a) * F.count(a)
     columns = {
-        "corr": F.when(~F.isnan(pearson), pearson),
+        "corr": pearson,
         "mae": F.avg(F.abs(gap)),
         "rmse": F.sqrt(F.avg(gap * gap)),
         "r2": 1 - F.try_divide(F.sum(gap * gap), spread),

@@ -12,7 +12,7 @@ from propflow.fixed_values import VOCAB_SPECIALS
 
 def snake(name: str) -> str:
     """`DSSTOX_SUBSTANCE_ID`, `PubChemCID`, `4_hr_value_mgL` as lower snake case."""
-    spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z][a-z])", "_", name.strip())
+    spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z][A-Za-z])", "_", name.strip())
     return re.sub(r"\W+", "_", spaced).lower()
 
 
