@@ -66,17 +66,14 @@ def quantile_bin_members(spark, sf):
 
 
 def bin_medians(spark, sf):
-    stats = _statistics(spark, sf)
-    medians = stats.interval_medians(stats.quantiles(DECILES))
+    _, medians = _statistics(spark, sf).intervals(DECILES)
     rows = [(i, round(median, 6)) for i, median in enumerate(medians)]
     return spark.createDataFrame(rows, "bin int, median double")
 
 
 def nearest_to_median(spark, sf):
-    stats = _statistics(spark, sf)
-    edges = stats.quantiles(DECILES)
-    rows = measurements(spark, sf)
-    near = exemplars.nearest_to_median(rows, "mg", "o_orderkey", edges, stats.interval_medians(edges))
+    edges, medians = _statistics(spark, sf).intervals(DECILES)
+    near = exemplars.nearest_to_median(measurements(spark, sf), "mg", "o_orderkey", edges, medians)
     return near.select("bin", "o_orderkey", "name")
 
 

@@ -37,10 +37,8 @@ def annotation_value(spark, sf):
 
 
 def singleton_unwrap(spark, sf):
-    lists = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey").groupBy("l_orderkey").agg(
-        F.collect_set("l_suppkey").alias("suppliers")
-    )
-    return unwrap_singletons(lists, "suppliers", "supplier").select("l_orderkey", "supplier")
+    single = unwrap_singletons(annotations(spark, sf), "pub_chem_cid")
+    return single.select("event_id", "pub_chem_cid", "heading")
 
 
 def labels(spark, sf):
@@ -274,8 +272,8 @@ WITH {ANNOTATIONS_SQL}
 SELECT event_id, value_text, TRY_CAST(value_text AS DOUBLE) AS value_num, NOT ok AS bad_record FROM valued
 """,
     "singleton_unwrap": """
-SELECT l_orderkey, min(l_suppkey) AS supplier FROM lineitem
-GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1
+SELECT event_id, user_id AS pub_chem_cid, event_type AS heading FROM events
+WHERE NOT (event_type = 'click' AND value > 50)
 """,
     "property_label": f"""
 WITH {ANNOTATIONS_SQL}

@@ -16,6 +16,7 @@ from propflow.fixed_values import (
 )
 from propflow.functions.numbers import fixed4, mg_per_m3, ppm
 from propflow.operators.ordering import rank_in_group
+from propflow.session import materialize
 
 
 def _within_reach(df: DataFrame, group: list[str], order: list[str], sep: int, reach: int) -> DataFrame:
@@ -101,6 +102,7 @@ def entity_digest(
 
 def digest_prompts(digest: DataFrame, entity: str) -> DataFrame:
     """(entity, step, part, text): the digest prompt in pieces to be read in that order."""
+    digest = materialize(digest)
     joiner = F.when(F.col("part") == 0, F.lit("")).when(F.col("section") == "headings", F.lit(", "))
     pieces = digest.select(
         entity,

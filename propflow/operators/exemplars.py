@@ -71,8 +71,7 @@ def pick_exemplars(
 ) -> DataFrame:
     """Extremes plus the rows next to each interval median; a row may appear more than once."""
     stats = OrderStatistics(df, value)
-    edges = stats.quantiles(points)
-    medians = stats.interval_medians(edges)
+    edges, medians = stats.intervals(points)
     near = nearest_to_median(df, value, tie, edges, medians, per_interval)
     rows = extremes(df, value, tie).unionByName(
         near.select(F.concat(F.lit("bin"), F.col("bin").cast("string")).alias("kind"), *df.columns)

@@ -13,22 +13,23 @@ def sorted_index(store: DataFrame, tokens: str, row_id: str, out: str = "place")
 
 
 def first_matches(store: DataFrame, tokens: str, row_id: str, payload: list[str]) -> DataFrame:
-    """One row per distinct sequence: the payload of its first row.
+    """One row per distinct sequence and its hash: the payload of its first row.
 
-    Copies collapse before the shuffle.
+    Copies collapse before the shuffle, which the lookup then shares.
     """
-    firsts = store.groupBy(tokens).agg(
+    hashed = store.withColumn("_hash", F.xxhash64(tokens))
+    firsts = hashed.groupBy("_hash", tokens).agg(
         F.min_by(F.struct(row_id, *payload), row_id).alias("_first")
     )
-    return firsts.select(tokens, *(F.col(f"_first.{name}").alias(name) for name in [row_id, *payload]))
+    names = [row_id, *payload]
+    return firsts.select("_hash", tokens, *(F.col(f"_first.{name}").alias(name) for name in names))
 
 
 def lookup_sequences(
     queries: DataFrame, store: DataFrame, tokens: str, row_id: str, payload: list[str]
 ) -> DataFrame:
     """Each query with the payload of the first stored row of equal tokens, else nulls."""
-    firsts = first_matches(store, tokens, row_id, payload).withColumn("_hash", F.xxhash64(tokens))
-    firsts = firsts.withColumnRenamed(tokens, "_stored")
+    firsts = first_matches(store, tokens, row_id, payload).withColumnRenamed(tokens, "_stored")
     asked = queries.withColumn("_hash", F.xxhash64(tokens))
     same = (asked["_hash"] == firsts["_hash"]) & (F.col(tokens) == F.col("_stored"))
     return asked.join(firsts, same, "left").drop("_hash", "_stored")

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import accumulate
 from operator import or_
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from propflow.session import materialize
 
 _LOCAL_BITS = 33
+BROADCAST_ROWS = 100_000
 
 
 def _placed(sorted_rows: DataFrame) -> DataFrame:
@@ -78,17 +80,29 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], out: str =
     earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     keys = ["_part", *group]
-    offsets = pieces.select(
-        *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)),
-        (F.col("_before") - F.col("_head")).alias("_shift"),
+    offsets = materialize(
+        pieces.select(
+            *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)),
+            (F.col("_before") - F.col("_head")).alias("_shift"),
+        )
     )
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
     position = (F.col("_place") + F.col("_shift")).alias(out)
     return tagged.join(offsets, same).select(*df.columns, position)
 
 
+class Cell(NamedTuple):
+    """A value and the ranks `first` to `end - 1` of the rows that hold it."""
+
+    value: float
+    first: int
+    end: int
+
+
 class OrderStatistics:
-    """Exact order statistics of a numeric column, nulls skipped.
+    """Exact order statistics of a numeric column, nulls and NaN skipped.
 
     Equal values are counted before the shuffle, so a value that fills a third of
     the rows is one row here. Only partition totals and the asked-for values
@@ -98,7 +112,7 @@ class OrderStatistics:
     def __init__(self, df: DataFrame, value: str):
         counts = (
             df.select(F.col(value).cast("double").alias("_x"))
-            .where("_x is not null")
+            .where("_x is not null and not isnan(_x)")
             .groupBy("_x")
             .agg(F.count(F.lit(1)).alias("_c"))
         )
@@ -111,59 +125,59 @@ class OrderStatistics:
         self._ends = list(accumulate(row._n for row in totals))
         self.n = self._ends[-1] if totals else 0
 
-    def at(self, ranks: list[int]) -> dict[int, float]:
-        """The values at the given 0-based ranks."""
+    def _cells(self, ranks: Iterable[int]) -> dict[int, Cell]:
+        """The value at each rank with the ranks its equals span; row groups elsewhere are skipped."""
         wanted = sorted(set(ranks))
         if not wanted:
             return {}
         if wanted[0] < 0 or wanted[-1] >= self.n:
             raise ValueError(f"ranks {wanted} outside 0..{self.n - 1}")
         starts = [0, *self._ends]
-        places = {}
-        for rank in wanted:
-            home = bisect_right(self._ends, rank)
-            places[self._parts[home], rank - starts[home]] = rank
-        to, part = F.col("_to"), F.col("_part")
-        wanted_cells = [
-            (part == home) & (to > place) & (to - F.col("_c") <= place) for home, place in places
+        homes = {rank: bisect_right(self._ends, rank) for rank in wanted}
+        upto, part = F.col("_to"), F.col("_part")
+        conditions = [
+            (part == self._parts[home])
+            & (upto > rank - starts[home])
+            & (upto - F.col("_c") <= rank - starts[home])
+            for rank, home in homes.items()
+        ]
+        offset = dict(zip(self._parts, starts, strict=False))
+        found = [
+            Cell(row._x, offset[row._part] + row._to - row._c, offset[row._part] + row._to)
+            for row in self._rows.where(reduce(or_, conditions)).collect()
         ]
-        cells = self._rows.where(reduce(or_, wanted_cells)).collect()
-        return {
-            rank: cell._x
-            for (home, place), rank in places.items()
-            for cell in cells
-            if cell._part == home and cell._to - cell._c <= place < cell._to
-        }
+        return {rank: next(c for c in found if c.first <= rank < c.end) for rank in wanted}
 
-    def quantiles(self, points: list[float]) -> list[float]:
-        """Linearly interpolated quantiles."""
+    def at(self, ranks: Iterable[int]) -> dict[int, float]:
+        """The values at the given 0-based ranks."""
+        return {rank: cell.value for rank, cell in self._cells(ranks).items()}
+
+    def _edges(self, points: list[float]) -> list[tuple[float, int, int]]:
+        """Each quantile with the number of rows below it and up to it."""
         if not self.n:
             return []
         spots = [point * (self.n - 1) for point in points]
-        low = [int(spot) for spot in spots]
-        high = [min(i + 1, self.n - 1) for i in low]
-        values = self.at(low + high)
-        return [
-            values[i] + (values[j] - values[i]) * (spot - i)
-            for spot, i, j in zip(spots, low, high, strict=True)
-        ]
-
-    def interval_medians(self, edges: list[float]) -> list[float | None]:
-        """Median of each closed interval between neighbouring edges."""
-        x, c = F.col("_x"), F.col("_c")
+        cells = self._cells(i for spot in spots for i in (int(spot), min(int(spot) + 1, self.n - 1)))
+        edges = []
+        for spot in spots:
+            low, high = cells[int(spot)], cells[min(int(spot) + 1, self.n - 1)]
+            edge = low.value + (high.value - low.value) * (spot - int(spot))
+            cell = next((c for c in (low, high) if c.value == edge), Cell(edge, low.end, low.end))
+            edges.append((edge, cell.first, cell.end))
+        return edges
 
-        def rows_where(condition: Column) -> Column:
-            return F.coalesce(F.sum(F.when(condition, c)), F.lit(0))
-
-        below = [rows_where(x < edge) for edge in edges]
-        upto = [rows_where(x <= edge) for edge in edges]
-        counts = self._rows.agg(F.array(*below).alias("below"), F.array(*upto).alias("upto")).first()
-        spans = [(counts.below[i], counts.upto[i + 1]) for i in range(len(edges) - 1)]
-        middles = [
-            ((lo + hi - 1) // 2, (lo + hi) // 2) if hi > lo else None for lo, hi in spans
-        ]
-        values = self.at([rank for pair in middles if pair for rank in pair])
-        return [(values[m[0]] + values[m[1]]) / 2 if m else None for m in middles]
+    def quantiles(self, points: list[float]) -> list[float]:
+        """Linearly interpolated quantiles."""
+        return [edge for edge, _, _ in self._edges(points)]
+
+    def intervals(self, points: list[float]) -> tuple[list[float], list[float | None]]:
+        """The quantiles and the median of each closed interval between neighbours."""
+        edges = self._edges(points)
+        spans = [(low[1], high[2]) for low, high in zip(edges, edges[1:], strict=False)]
+        middles = [((a + b - 1) // 2, (a + b) // 2) if b > a else None for a, b in spans]
+        values = self.at(rank for pair in middles if pair for rank in pair)
+        medians = [(values[m[0]] + values[m[1]]) / 2 if m else None for m in middles]
+        return [edge for edge, _, _ in edges], medians
 
 
 def nth_smallest_hash(df: DataFrame, hashed: str, count: int, digits: int = 4) -> str | None:

@@ -48,8 +48,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Fix the rows of `df` in reliable storage, so later jobs read the same ones."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the shared folder and go on from that table.
+
+    Later jobs read the same rows whatever happens to executors, and, unlike a
+    checkpoint, only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

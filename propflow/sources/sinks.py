@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propflow.session import scratch_path
-
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> str:
     """Snappy Parquet; `files` compacts the output with one shuffle."""
@@ -50,9 +48,3 @@ def write_sheet(df: DataFrame, path: str, columns: list[str]) -> str:
     """CSV with a header and the columns in the given order."""
     df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
-
-
-def through_parquet(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and go on from the stored rows."""
-    spark = df.sparkSession
-    return spark.read.parquet(write_table(df, scratch_path(spark, "table")))

@@ -45,16 +45,16 @@ def test_order_statistics(skewed, partitions):
     assert stats.at(ranks) == {r: ordered[r] for r in ranks}
     points = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
     assert stats.quantiles(points) == pytest.approx(list(np.quantile(data, points)), abs=1e-12)
-    edges = stats.quantiles([0.0, 0.25, 0.5, 0.75, 1.0])
+    edges, got = stats.intervals([0.0, 0.25, 0.5, 0.75, 1.0])
     medians = [statistics.median(v for v in data if lo <= v <= hi) for lo, hi in zip(edges, edges[1:])]
-    assert stats.interval_medians(edges) == pytest.approx(medians)
+    assert got == pytest.approx(medians)
 
 
 def test_order_statistics_skip_nulls_and_empty(spark):
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "x double")
     assert OrderStatistics(df, "x").quantiles([0.5]) == [2.0]
     empty = OrderStatistics(df.where("x > 9"), "x")
-    assert empty.n == 0 and empty.quantiles([0.5]) == []
+    assert empty.n == 0 and empty.quantiles([0.5]) == [] and empty.intervals([0.5, 1.0]) == ([], [])
 
 
 def test_global_rank(skewed, partitions):
