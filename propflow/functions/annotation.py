@@ -10,10 +10,10 @@ MARKUP_SCHEMA = "Value struct<StringWithMarkup: array<struct<String: string>>>"
 def annotation_text(payload: Column) -> Column:
     """First number as written, else the joined strings of the markup list, else null."""
     number = F.get_json_object(payload, "$.Value.Number[0]")
-    has_number = F.get_json_object(payload, "$.Value.Number").isNotNull()
+    no_numbers = F.get_json_object(payload, "$.Value.Number").isNull()
     items = F.from_json(payload, MARKUP_SCHEMA)["Value"]["StringWithMarkup"]
     strings = F.filter(F.transform(items, lambda i: i["String"]), lambda s: s.isNotNull())
-    return F.when(has_number, number).otherwise(F.array_join(strings, " "))
+    return F.coalesce(number, F.when(no_numbers, F.array_join(strings, " ")))
 
 
 def is_bad_payload(payload: Column) -> Column:

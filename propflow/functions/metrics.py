@@ -29,6 +29,6 @@ def in_domain(confidence: Column, threshold: float) -> Column:
     return F.coalesce((confidence >= threshold).cast("int"), F.lit(0))
 
 
-def passed_thresholds(confidence: Column, thresholds: list) -> Column:
-    """The thresholds a confidence reaches, as an array."""
-    return F.filter(F.array(*(F.lit(t) for t in thresholds)), lambda t: confidence >= t)
+def reached_thresholds(confidence: Column, thresholds: list) -> Column:
+    """Each threshold the confidence reaches, null in place of the others."""
+    return F.array(*(F.when(confidence >= t, F.lit(t)) for t in thresholds))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from propflow.fixed_values import CONFIDENCE_THRESHOLDS
-from propflow.functions.metrics import in_domain, passed_thresholds, regression_metrics
+from propflow.functions.metrics import in_domain, reached_thresholds, regression_metrics
 from propflow.functions.numbers import guarded_confidence, guarded_log10
 from propflow.operators.ordering import OrderStatistics
 
@@ -52,6 +52,12 @@ def metrics(df: DataFrame, actual: str, predicted: str, by: list[str] | None = N
     return df.groupBy(*(by or [])).agg(*regression_metrics(F.col(actual), F.col(predicted), digits))
 
 
+def _stacked(df: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
+    """One output row per tuple of columns and input row, in one scan."""
+    cells = [cell if isinstance(cell, Column) else F.lit(cell) for row in rows for cell in row]
+    return df.select(F.stack(F.lit(len(rows)), *cells).alias(*names))
+
+
 def threshold_sweep(
     df: DataFrame,
     units: dict[str, tuple[str, str, str]],
@@ -63,47 +69,35 @@ def threshold_sweep(
     `units` maps a unit to its (actual, predicted, confidence) columns. Rows fan out
     to the thresholds they reach and are aggregated before they move.
     """
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(unit).alias("unit"),
-                F.col(actual).cast("double").alias("actual"),
-                F.col(predicted).cast("double").alias("predicted"),
-                passed_thresholds(F.col(confidence), thresholds).alias("reached"),
-            )
-            for unit, (actual, predicted, confidence) in units.items()
-        )
-    )
-    rows = df.select(F.inline(cells))
-    reached = rows.select("unit", "actual", "predicted", F.explode("reached").alias("threshold"))
-    return metrics(reached, "actual", "predicted", ["unit", "threshold"], digits)
+    rows = [
+        (unit, F.col(actual).cast("double"), F.col(predicted).cast("double"), F.col(confidence).cast("double"))
+        for unit, (actual, predicted, confidence) in units.items()
+    ]
+    long = _stacked(df, ["unit", "actual", "predicted", "confidence"], rows)
+    reached = F.explode(reached_thresholds(F.col("confidence"), thresholds)).alias("threshold")
+    cells = long.select("unit", "actual", "predicted", reached).where("threshold is not null")
+    return metrics(cells, "actual", "predicted", ["unit", "threshold"], digits)
 
 
 def compare_versions(
     df: DataFrame, pairs: dict[tuple[str, str], tuple[str, str]], digits: int | None = None
 ) -> DataFrame:
     """Metrics per (unit, version); `pairs` maps those to (actual, predicted) columns."""
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(unit).alias("unit"),
-                F.lit(version).alias("version"),
-                F.col(actual).cast("double").alias("actual"),
-                F.col(predicted).cast("double").alias("predicted"),
-            )
-            for (unit, version), (actual, predicted) in pairs.items()
-        )
-    )
-    return metrics(df.select(F.inline(cells)), "actual", "predicted", ["unit", "version"], digits)
+    rows = [
+        (unit, version, F.col(actual).cast("double"), F.col(predicted).cast("double"))
+        for (unit, version), (actual, predicted) in pairs.items()
+    ]
+    long = _stacked(df, ["unit", "version", "actual", "predicted"], rows)
+    return metrics(long, "actual", "predicted", ["unit", "version"], digits)
 
 
 def describe_numeric(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """One row per column: count, mean, sample deviation, exact quartiles, extremes."""
-    rows = None
+    figures = []
     for name in columns:
         low, middle, high = OrderStatistics(df, name).quantiles([0.25, 0.5, 0.75]) or [None] * 3
         x = F.col(name).cast("double")
-        figures = {
+        row = {
             "mean": F.avg(x),
             "std": F.stddev_samp(x),
             "min": F.min(x),
@@ -112,13 +106,9 @@ def describe_numeric(df: DataFrame, columns: list[str], digits: int = 6) -> Data
             "q75": F.lit(high).cast("double"),
             "max": F.max(x),
         }
-        row = df.agg(
-            F.lit(name).alias("column_name"),
-            F.count(x).alias("n"),
-            *(F.round(figure, digits).alias(label) for label, figure in figures.items()),
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        rounded = [F.round(figure, digits).alias(label) for label, figure in row.items()]
+        figures.append(F.struct(F.lit(name).alias("column_name"), F.count(x).alias("n"), *rounded))
+    return df.agg(F.array(*figures).alias("figures")).select(F.inline("figures"))
 
 
 def value_range(df: DataFrame, column: str) -> DataFrame:

@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from propflow.fixed_values import SEARCH_QUERY, SNIPPET_PROMPT, SNIPPET_TOP, SNIPPET_WINDOW
-from propflow.functions.text import snippet_score, snippet_windows
+from propflow.functions.text import mention_windows, snippet_score
+
+OUTPUT_CHARS = 8_000_000
 
 
 def explode_snippets(
     df: DataFrame, text: str, name: str, alias: str, keep: list[str], window: int = SNIPPET_WINDOW
 ) -> DataFrame:
-    """One row per mention: the kept columns, `pos` (0-based), `start` and `snippet`."""
-    cuts = snippet_windows(F.col(text), F.col(name), F.col(alias), window)
-    rows = df.select(*keep, F.posexplode(cuts).alias("pos", "_cut"))
-    return rows.select(*keep, "pos", "_cut.start", "_cut.snippet")
+    """One row per mention: the kept columns, `pos` (0-based), `start` and `snippet`.
+
+    Python slices in constant time where `substring` walks the text from its start
+    for every mention, so long texts full of mentions stay linear. Rows leave in
+    batches of bounded size, however much text one input batch repeats.
+    """
+    asked = {"_text": text, "_name": name, "_alias": alias}
+    inputs = df.select(*keep, *(F.col(c).cast("string").alias(out) for out, c in asked.items()))
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, int, str]] = []
+            size = 0
+            for row, texts in enumerate(zip(*(batch.column(c) for c in asked), strict=True)):
+                mentions = mention_windows(*(t.as_py() for t in texts), window)
+                for pos, (start, snippet) in enumerate(mentions):
+                    found.append((row, pos, start, snippet))
+                    size += len(snippet)
+                    if size > OUTPUT_CHARS:
+                        yield emit(batch, found)
+                        found, size = [], 0
+            if found:
+                yield emit(batch, found)
+
+    def emit(batch: pa.RecordBatch, found: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        rows, *columns = zip(*found, strict=True)
+        source = pa.array(rows, pa.int32())
+        arrays = [batch.column(c).take(source) for c in keep]
+        types = (pa.int32(), pa.int32(), pa.string())
+        arrays += [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, [*keep, "pos", "start", "snippet"])
+
+    return inputs.mapInArrow(cut, f"{kept}, pos int, start int, snippet string")
 
 
 def score_snippets(snippets: DataFrame, name: str, alias: str, **terms: list[str]) -> DataFrame:

@@ -60,6 +60,8 @@ def training_rows(
     packed: DataFrame, key: str, fraction: float = 0.1, seed: int = 42, mask_pad: bool = False
 ) -> DataFrame:
     """(key, input_ids, labels, split): packed sequences padded to the longest, split exactly."""
-    padded = pad_to_longest(packed.select(key, "tensor"), "tensor", "input_ids").drop("tensor")
+    # read for the longest length, for the hashes of the split and for the rows
+    stored = materialize(packed.select(key, "tensor"))
+    padded = pad_to_longest(stored, "tensor", "input_ids").drop("tensor")
     labelled = padded.withColumn("labels", labels_of(F.col("input_ids"), 0, mask_pad))
     return split_exact(labelled, key, fraction, seed)

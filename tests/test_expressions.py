@@ -18,7 +18,7 @@ from propflow.functions.numbers import (
 )
 from propflow.functions.responses import memo_key, parse_response, parse_short_response
 from propflow.functions.symbols import labels_of, pack_sequence, pad_right, split_symbols
-from propflow.functions.text import html_to_text, route_of, snippet_score, snippet_windows
+from propflow.functions.text import html_to_text, mention_windows, route_of, snippet_score
 
 
 def values(spark, rows, schema, *columns):
@@ -216,19 +216,17 @@ def test_route(spark):
     assert got == ["pdf", "html", "html"]
 
 
-def windows(spark, text, name, alias, window):
-    cut = snippet_windows(F.col("t"), F.col("n"), F.col("a"), window)
-    (got,) = values(spark, [(0, text, name, alias)], "t string, n string, a string", cut)
-    return got and [(s.start, s.snippet) for s in got]
+def windows(text, name, alias, window):
+    return list(mention_windows(text, name, alias, window))
 
 
-def test_snippet_windows(spark):
-    assert windows(spark, "abcdXabcd", "ABCD", None, 3) == [(0, "abc"), (5, "cdXabc")]
-    assert windows(spark, "x.y", "x.y", "X.Y", 9) == [(0, "x.y"), (0, "x.y")]
-    assert windows(spark, "xzy", "x.y", "", 9) == []
-    assert windows(spark, "aaaa", "aa", None, 1) == [(0, "a"), (2, "aa")]
-    assert windows(spark, None, "a", "b", 1) is None
-    assert windows(spark, "été 12-3 où", "où", "12-3", 2) == [(4, "é 12"), (9, "3 où")]
+def test_snippet_windows():
+    assert windows("abcdXabcd", "ABCD", None, 3) == [(0, "abc"), (5, "cdXabc")]
+    assert windows("x.y", "x.y", "X.Y", 9) == [(0, "x.y"), (0, "x.y")]
+    assert windows("xzy", "x.y", "", 9) == []
+    assert windows("aaaa", "aa", None, 1) == [(0, "a"), (2, "aa")]
+    assert windows(None, "a", "b", 1) == []
+    assert windows("été 12-3 où", "où", "12-3", 2) == [(4, "é 12"), (9, "3 où")]
 
 
 def test_snippet_score(spark):

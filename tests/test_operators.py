@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from propflow.fixed_values import LICENSE_RULE
+from propflow.functions.text import mention_windows
 from propflow.operators import context, crosswalk, evaluate, exemplars, inference, lookup, ordering, reconcile
 from propflow.operators import retrieval, scoring, split, tokens
 from propflow.operators.assemble import assemble_property_table, melt, structures
@@ -280,6 +281,19 @@ def test_sorted_index_is_lexicographic(spark, partitions):
     assert got == sorted(range(200), key=lambda i: (tuple(seqs[i]), i))
 
 
+def test_snippets_leave_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "OUTPUT_CHARS", 40)
+    texts = ["aXbXc" * 9, None, "none", "x"]
+    df = spark.createDataFrame([(i, t, "X", None) for i, t in enumerate(texts)], "id int, t string, n string, a string")
+    got = retrieval.explode_snippets(df, "t", "n", "a", ["id", "n"], window=3).collect()
+    want = [
+        (i, "X", p, s, t)
+        for i, text in enumerate(texts)
+        for p, (s, t) in enumerate(mention_windows(text, "X", None, 3))
+    ]
+    assert sorted(map(tuple, got)) == want and len(want) == 19
+
+
 def test_top_snippets_are_stable_and_prompted(spark):
     data = [("e", d, p, s, f"s{d}{p}") for d in range(4) for p in range(3) for s in [(d + p) % 3]]
     df = spark.createDataFrame(data, "e string, d int, pos int, score int, snippet string")
