@@ -10,7 +10,7 @@ from propflow.catalog.context import KEYWORDS, PROMPT_FULL_SQL, _annotation_rows
 from propflow.catalog.standin import measurements, table
 from propflow.functions.responses import memo_key, parse_response
 from propflow.operators import evaluate, inference
-from propflow.plans.estimates import estimate_entities
+from propflow.plans.estimates import estimate_entities, question_estimates
 from propflow.session import scratch_path
 
 
@@ -120,6 +120,20 @@ def estimate_table(spark, sf):
     return records.withColumns(figures)
 
 
+def question_estimate(spark, sf):
+    """Customers asked one plain question each; the answer's size decides the estimate."""
+
+    def model(prompt: str) -> str:
+        last = int(prompt.split("#")[1].split()[0])
+        if last == 3:
+            raise TimeoutError(prompt)
+        return json.dumps({"lc50_4hr_mg_L": last - 20, "confidence": last % 10})
+
+    named = table(spark, sf, "customer", "c_custkey", "c_name")
+    rows = question_estimates(named, "c_name", model, scratch_path(spark, "memo"), floor=0.01)
+    return rows.withColumn("pred_4_hr_value_mgL_log10", F.round("pred_4_hr_value_mgL_log10", 6))
+
+
 QUERIES = {
     "memo_misses": memo_misses,
     "batch_infer": batch_infer,
@@ -128,6 +142,7 @@ QUERIES = {
     "prediction_record": prediction_record,
     "user_codec_hook": user_codec_hook,
     "estimate_table": estimate_table,
+    "question_estimates": question_estimate,
 }
 
 REQUESTS_SQL = f"""
@@ -139,6 +154,15 @@ memo AS (SELECT DISTINCT memo_key FROM requests WHERE turn = 0)
 """
 
 ORACLE = {
+    "question_estimates": """
+SELECT c_custkey, c_name,
+  CASE WHEN c_custkey = 3 THEN NULL WHEN c_custkey <= 20 THEN round(log10(0.01), 6)
+    ELSE round(log10(c_custkey - 20), 6) END AS "pred_4_hr_value_mgL_log10",
+  CASE WHEN c_custkey = 3 THEN 0.0 ELSE CAST(c_custkey % 10 AS DOUBLE) END AS "CONFIDENCE",
+  CASE WHEN c_custkey = 3
+    THEN concat('TimeoutError: what is the 4-hour inhalation LC50 value of ', c_name, ' in mg/L') END AS error
+FROM customer
+""",
     "memo_misses": f"""
 WITH {REQUESTS_SQL}
 SELECT DISTINCT memo_key, text FROM requests WHERE memo_key NOT IN (SELECT memo_key FROM memo)

@@ -33,6 +33,11 @@ def safe_codec(codec: Callable[[str], object], returns: str | DataType) -> Calla
     return convert
 
 
+def accepts(check: Callable[[str], bool], column: Column) -> Column:
+    """True where the check holds; false for null, '' and values it fails on."""
+    return F.coalesce(safe_codec(check, "boolean")(column), F.lit(False))
+
+
 def apply_codec(
     df: DataFrame, column: str, codec: Callable[[str], object], out: str, returns: str
 ) -> DataFrame:
@@ -43,11 +48,18 @@ def apply_codec(
 
 
 def infer(
-    requests: DataFrame, key: str, arguments: list[str], model: Callable[..., str], in_flight: int = 40
+    requests: DataFrame,
+    key: str,
+    arguments: list[str],
+    model: Callable[..., str],
+    in_flight: int = 40,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(key, result, error): `model(*arguments)` per row, `in_flight` at a time in each task.
 
-    A failing call keeps its row, with the error in place of the result.
+    A failing call keeps its row, with the error in place of the result. `tasks`
+    spreads the requests: small texts that wait long are worth more tasks than
+    their bytes suggest.
     """
 
     def call(values: tuple) -> tuple[str | None, str | None]:
@@ -69,6 +81,7 @@ def infer(
                 )
 
     asked = requests.select(key, *(name for name in arguments if name != key))
+    asked = asked.repartition(tasks) if tasks else asked
     key_type = asked.schema[key].dataType.simpleString()
     return asked.mapInPandas(run, f"{key} {key_type}, result string, error string")
 
@@ -106,6 +119,7 @@ def memoised_infer(
     model: Callable[..., str],
     memo_path: str,
     in_flight: int = 40,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Answers `requests` (with `memo_key`), calling the model once per unknown key.
 
@@ -115,7 +129,7 @@ def memoised_infer(
     """
     memo = read_memo(requests.sparkSession, memo_path)  # its file list is fixed here
     unknown = memo_misses(requests, memo, arguments)
-    fresh = materialize(infer(unknown, "memo_key", arguments, model, in_flight))
+    fresh = materialize(infer(unknown, "memo_key", arguments, model, in_flight, tasks))
     fresh.where("error is null").select("memo_key", "result").write.mode("append").parquet(memo_path)
     return merge_memo(requests, memo, fresh)
 
