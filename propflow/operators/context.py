@@ -66,25 +66,14 @@ def attach_context(entities: DataFrame, context: DataFrame, entity: str) -> Data
     return entities.join(context, entity, "left").withColumn("details", F.coalesce("details", F.lit("")))
 
 
-def joined_parts(
-    rows: DataFrame, group: list[str], text: str, order: list[str], sep: str, rows_per_part: int
-) -> DataFrame:
-    """(group, part, text): each group's texts in order, in parts of a fixed row count.
-
-    The parts of a group, joined by `sep`, are its whole text; no task holds more
-    than one part.
-    """
-    ranked = rank_in_group(rows.select(*group, *order, text), group, order, out="_row")
-    parts = ranked.withColumn("part", F.floor(F.col("_row") / rows_per_part).cast("int"))
-    sorted_texts = F.array_sort(F.collect_list(F.struct("_row", F.col(text).alias("_text"))))
-    joined = F.array_join(F.transform(sorted_texts, lambda r: r["_text"]), sep)
-    return parts.groupBy(*group, "part").agg(joined.alias(text))
-
-
 def entity_digest(
     rows: DataFrame, entity: str, heading: str, value: str, order: str, rows_per_part: int = 1000
 ) -> DataFrame:
-    """(entity, section, part, text): distinct headings joined by ', ', values by ' '."""
+    """(entity, section, part, text): distinct headings joined by ', ', values by ' '.
+
+    Parts have a fixed row count. Those of a section, joined in order, are its whole
+    text; no task holds more than one part.
+    """
     headings = (
         rows.where(F.col(heading).isNotNull())
         .groupBy(entity, F.col(heading).alias("text"))
@@ -95,9 +84,13 @@ def entity_digest(
         entity, F.col(value).alias("text"), F.col(order).alias("_order"), F.lit("details").alias("section")
     )
     keys = [entity, "section"]
-    head = joined_parts(headings, keys, "text", ["_order"], ", ", rows_per_part)
-    body = joined_parts(values, keys, "text", ["_order"], " ", rows_per_part)
-    return head.unionByName(body)
+    ranked = rank_in_group(headings.unionByName(values), keys, ["_order"], out="_row")
+    parts = ranked.withColumn("part", F.floor(F.col("_row") / rows_per_part).cast("int"))
+    pieces = F.array_sort(F.collect_list(F.struct("_row", "text")))
+    texts = F.transform("pieces", lambda r: r["text"])
+    joined = F.when(F.col("section") == "headings", F.array_join(texts, ", ")).otherwise(F.array_join(texts, " "))
+    grouped = parts.groupBy(*keys, "part").agg(pieces.alias("pieces"))
+    return grouped.select(*keys, "part", joined.alias("text"))
 
 
 def digest_prompts(digest: DataFrame, entity: str) -> DataFrame:

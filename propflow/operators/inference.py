@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType
 
@@ -88,10 +89,12 @@ def infer(
 
 def read_memo(spark: SparkSession, path: str) -> DataFrame:
     """The memo table at `path`, empty when nothing was stored yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
         return spark.read.schema(MEMO_SCHEMA).parquet(path)
-    return spark.createDataFrame([], MEMO_SCHEMA)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MEMO_SCHEMA)
 
 
 def memo_misses(requests: DataFrame, memo: DataFrame, arguments: list[str]) -> DataFrame:
@@ -106,7 +109,7 @@ def memo_misses(requests: DataFrame, memo: DataFrame, arguments: list[str]) -> D
 
 def merge_memo(requests: DataFrame, memo: DataFrame, fresh: DataFrame) -> DataFrame:
     """Each request with its stored or fresh result and the error of a failed call."""
-    stored = memo.dropDuplicates(["memo_key"]).select(
+    stored = memo.groupBy("memo_key").agg(F.min("result").alias("result")).select(
         "memo_key", "result", F.lit(None).cast("string").alias("error"), F.lit(True).alias("memo_hit")
     )
     new = fresh.select("memo_key", "result", "error", F.lit(False).alias("memo_hit"))
