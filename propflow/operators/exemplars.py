@@ -18,18 +18,16 @@ def quantile_edges(
     return OrderStatistics(df, value).quantiles(points)
 
 
-def interval_of(value: Column, edges: list[float]) -> Column:
-    """The 0-based intervals that hold the value, ends included, as an array."""
-    hits = [
-        F.when((value >= low) & (value <= high), F.lit(i))
-        for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
-    return F.array_compact(F.array(*hits))
+def interval_of(value: str, edges: list[float]) -> Column:
+    """The 0-based intervals that hold the column's value, ends included, null for the others."""
+    spans = enumerate(zip(edges, edges[1:], strict=False))
+    hits = [f"CASE WHEN `{value}` BETWEEN {low!r}D AND {high!r}D THEN {i} END" for i, (low, high) in spans]
+    return F.expr(f"array({', '.join(hits)})")
 
 
 def interval_members(df: DataFrame, value: str, edges: list[float], out: str = "bin") -> DataFrame:
     """One row per row and interval: a value on an inner edge lies in both neighbours."""
-    return df.withColumn(out, F.explode(interval_of(F.col(value), edges)))
+    return df.withColumn(out, F.explode(interval_of(value, edges))).where(F.col(out).isNotNull())
 
 
 def nearest_to_median(
@@ -39,7 +37,7 @@ def nearest_to_median(
 
     The rank filter is applied in every input partition before rows move.
     """
-    middle = F.array(*(F.lit(m).cast("double") for m in medians))
+    middle = F.lit([float("nan") if m is None else m for m in medians])
     near = interval_members(df, value, edges).withColumn(
         "distance", F.abs(F.col(value) - F.get(middle, F.col("bin")))
     )

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import accumulate
-from operator import or_
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -134,17 +132,12 @@ class OrderStatistics:
             raise ValueError(f"ranks {wanted} outside 0..{self.n - 1}")
         starts = [0, *self._ends]
         homes = {rank: bisect_right(self._ends, rank) for rank in wanted}
-        upto, part = F.col("_to"), F.col("_part")
-        conditions = [
-            (part == self._parts[home])
-            & (upto > rank - starts[home])
-            & (upto - F.col("_c") <= rank - starts[home])
-            for rank, home in homes.items()
-        ]
+        places = [(self._parts[home], rank - starts[home]) for rank, home in homes.items()]
+        hit = " OR ".join(f"(_part = {part} AND _to > {at} AND _to - _c <= {at})" for part, at in places)
         offset = dict(zip(self._parts, starts, strict=False))
         found = [
             Cell(row._x, offset[row._part] + row._to - row._c, offset[row._part] + row._to)
-            for row in self._rows.where(reduce(or_, conditions)).collect()
+            for row in self._rows.where(hit).collect()
         ]
         return {rank: next(c for c in found if c.first <= rank < c.end) for rank in wanted}
 
