@@ -16,7 +16,6 @@ from propflow.fixed_values import (
     EXEMPLAR_HEADER,
     SUMMARY_PROMPT,
 )
-from propflow.functions.keywords import matches_in_all
 from propflow.operators import context, evaluate, exemplars
 from propflow.operators.ordering import OrderStatistics
 from propflow.plans.estimates import annotation_context

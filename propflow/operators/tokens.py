@@ -23,8 +23,10 @@ def fit_vocabulary(df: DataFrame, symbols: Column, specials: list[str] | None =
         seen = seen.where(~F.col("symbol").isin(specials))
     ranked = global_rank(seen.distinct(), "symbol", out="idx", first=len(specials))
     ranked = ranked.select("symbol", F.col("idx").cast("int").alias("idx"))
-    fixed = df.sparkSession.createDataFrame(list(zip(specials, range(len(specials)))), "symbol string, idx int")
-    return fixed.unionByName(ranked) if specials else ranked
+    if not specials:
+        return ranked
+    fixed = [(symbol, i) for i, symbol in enumerate(specials)]
+    return df.sparkSession.createDataFrame(fixed, "symbol string, idx int").unionByName(ranked)
 
 
 def extend_vocabulary(base: DataFrame, symbols: DataFrame) -> DataFrame:

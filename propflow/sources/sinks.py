@@ -44,7 +44,8 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> str:
     return table
 
 
-def write_sheet(df: DataFrame, path: str, columns: list[str]) -> str:
-    """CSV with a header and the columns in the given order."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_sheet(df: DataFrame, path: str, columns: list[str], order: str | None = None) -> str:
+    """CSV with a header and the columns in the given order; `order` sorts the rows across the files."""
+    rows = df.orderBy(order) if order else df
+    rows.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path

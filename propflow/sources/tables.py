@@ -58,12 +58,12 @@ def read_vocabulary(spark: SparkSession, path: str, field: str = "symbol_to_inde
     return vocabulary_of_json(spark.read.text(path, wholetext=True), "value", field)
 
 
-def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A result sheet written by `write_sheet`."""
+def read_sheet(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
+    """A result sheet written by `write_sheet`; without `line_breaks` in values its files can be split."""
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("escape", '"')
         .csv(path)
     )

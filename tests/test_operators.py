@@ -444,6 +444,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(sinks.compact_parts(spark, path, str(tmp_path / "c"))).count() == 50
     sheet = sinks.write_sheet(df, str(tmp_path / "s"), ["text", "PubChemCID"])
     assert rows_of(tables.read_sheet(spark, sheet, "text string, id int")) == sorted((r.text, r.PubChemCID) for r in df.collect())
+    ordered = sinks.write_sheet(df.repartition(3), str(tmp_path / "o"), ["key", "PubChemCID"], order="PubChemCID")
+    lines = [line for f in sorted((tmp_path / "o").glob("*.csv")) for line in f.read_text().splitlines()[1:]]
+    assert [int(line.split(",")[1]) for line in lines] == list(range(50))
+    assert tables.read_sheet(spark, ordered, "key string, id int", line_breaks=False).count() == 50
     found = spark.read.parquet(sinks.write_lookup(df, str(tmp_path / "l"), "key", ["PubChemCID"]))
     assert found.where("key = 'k1'").count() == 17
     sinks.save_bucketed(df, "propflow_bucketed", "key", 4)
