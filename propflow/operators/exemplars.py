@@ -20,8 +20,9 @@ def quantile_edges(
 
 def interval_of(value: str, edges: list[float]) -> Column:
     """The 0-based intervals that hold the column's value, ends included, null for the others."""
-    spans = enumerate(zip(edges, edges[1:], strict=False))
-    hits = [f"CASE WHEN `{value}` BETWEEN {low!r}D AND {high!r}D THEN {i} END" for i, (low, high) in spans]
+    ends = [f"CAST('{edge!r}' AS DOUBLE)" for edge in edges]
+    spans = enumerate(zip(ends, ends[1:], strict=False))
+    hits = [f"CASE WHEN `{value}` BETWEEN {low} AND {high} THEN {i} END" for i, (low, high) in spans]
     return F.expr(f"array({', '.join(hits)})")
 
 
@@ -69,6 +70,8 @@ def pick_exemplars(
 ) -> DataFrame:
     """Extremes plus the rows next to each interval median; a row may appear more than once."""
     stats = OrderStatistics(df, value)
+    if not stats.n:
+        return extremes(df, value, tie)
     edges, medians = stats.intervals(points)
     near = nearest_to_median(df, value, tie, edges, medians, per_interval)
     rows = extremes(df, value, tie).unionByName(

@@ -1,6 +1,7 @@
 """Operators against brute force, edge rows and hot groups."""
 
 import json
+import math
 import random
 import statistics
 
@@ -164,6 +165,17 @@ def test_exemplars_lie_in_their_bins(skewed):
     assert unique.count() == len({r.id for r in picked})
 
 
+def test_no_values_give_no_exemplars(spark):
+    df = spark.createDataFrame([(1, None)], "id int, x double")
+    assert exemplars.pick_exemplars(df, "x", "id").collect() == []
+
+
+def test_infinite_edges(spark):
+    df = spark.createDataFrame([(-math.inf,), (0.5,), (math.inf,)], "x double")
+    got = rows_of(exemplars.interval_members(df, "x", [-math.inf, 1e-05, math.inf]))
+    assert got == [(-math.inf, 0), (0.5, 1), (math.inf, 1)]
+
+
 def test_inner_edge_lies_in_two_bins(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "x double")
     got = rows_of(exemplars.interval_members(df, "x", [1.0, 2.0, 3.0]))
