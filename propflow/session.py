@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +30,12 @@ def build_session(master: str = "local[8]", app: str = "propflow", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it.
-
-    Only a local master may fall back to a folder of this machine.
-    """
+    """The folder all executors can reach: `spark.checkpoint.dir`, else one below the session's warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="propflow-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
