@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from propflow.llm import mixing, sharding
+from propflow.llm import mixing, quality_rules, sharding
 
 
 def _documents(spark, sf, *columns):
     return spark.read.parquet(f"{sf}/documents.parquet").select(*columns)
 
 
+def op1_line_rules(spark, sf):
+    return quality_rules.quality_report(_documents(spark, sf, "doc_id", "text"), "doc_id")
+
+
 def op6_hash_tree(spark, sf):
     docs = _documents(spark, sf, "doc_id", "text")
     return sharding.shard_slots(docs, sharding.layout(16), sharding.layout(17))
@@ -19,8 +23,11 @@ def op9_entropy_balance(spark, sf):
 
 
 QUERIES = {
+    "op1_line_rules": op1_line_rules,
     "op6_hash_tree": op6_hash_tree,
     "op9_entropy_balance": op9_entropy_balance,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_line_rules": quality_rules.quality_sql(),
+}
