@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from propflow.llm import mixing, quality_rules, sharding
+from propflow.llm import mixing, quality_rules, sharding, toxicity
 
 
 def _documents(spark, sf, *columns):
@@ -22,10 +22,16 @@ def op9_entropy_balance(spark, sf):
     return mixing.mix_report(_documents(spark, sf, "doc_id", "text", "source"))
 
 
+def op10_weak_supervision(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return toxicity.toxicity_report(_documents(spark, sf, "doc_id", "text"), labels)
+
+
 QUERIES = {
     "op1_line_rules": op1_line_rules,
     "op6_hash_tree": op6_hash_tree,
     "op9_entropy_balance": op9_entropy_balance,
+    "op10_weak_supervision": op10_weak_supervision,
 }
 
 ORACLE = {
