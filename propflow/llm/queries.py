@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from propflow.llm import mixing, quality_rules, sharding, toxicity
+from propflow.llm import mixing, ngram_join, quality_rules, sharding, toxicity
 
 
 def _documents(spark, sf, *columns):
@@ -13,6 +13,10 @@ def op1_line_rules(spark, sf):
     return quality_rules.quality_report(_documents(spark, sf, "doc_id", "text"), "doc_id")
 
 
+def op5_ngram_join(spark, sf):
+    return ngram_join.shingle_components(_documents(spark, sf, "doc_id", "text"))
+
+
 def op6_hash_tree(spark, sf):
     docs = _documents(spark, sf, "doc_id", "text")
     return sharding.shard_slots(docs, sharding.layout(16), sharding.layout(17))
@@ -29,6 +33,7 @@ def op10_weak_supervision(spark, sf):
 
 QUERIES = {
     "op1_line_rules": op1_line_rules,
+    "op5_ngram_join": op5_ngram_join,
     "op6_hash_tree": op6_hash_tree,
     "op9_entropy_balance": op9_entropy_balance,
     "op10_weak_supervision": op10_weak_supervision,
