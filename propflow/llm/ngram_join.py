@@ -24,6 +24,8 @@ from propflow.session import materialize
 PERCENT = 80
 FREQUENT = 1 << 20  # at most so many shingles are put last: 8 MB
 LEAST_FREQUENT = 32
+BROADCAST_IDS = 1_000_000
+OPEN_CELLS = 4  # cells left between components, per cell of the leading columns, that are multiplied out
 STAR_ROUNDS = 6
 
 
@@ -86,10 +88,33 @@ def _sets(batches, frequent: np.ndarray | None, percent: int):
             )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole overlap reaches the bound."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+def _promising(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can reach their bound, by the overlap in their leading columns.
+
+    What two rows share up to the earlier of their last leading columns is counted in full; beyond
+    it one of them has but its remaining columns.
+    """
+    left = heads.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"))
+    right = heads.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"))
+    rest = lambda n: F.ceil(n * (percent / 100) - 1e-9) - 1
+    most = F.size(F.array_intersect("ha", "hb")) + F.greatest(rest(F.col("na")), rest(F.col("nb"))) + 1
+    needed = F.lit(percent) * (F.col("na") + F.col("nb"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where((100 + percent) * most >= needed).select("a", "b")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole overlap reaches the bound; sets are made anew from the texts."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    few = ids.count() <= BROADCAST_IDS  # 8 bytes each; beyond that Spark picks the join
+    chosen = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = materialize(
+        chosen.mapInArrow(
+            lambda batches: _sets(batches, None, percent), "doc_id bigint, n bigint, shingles array<bigint>"
+        )
+    )
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
@@ -137,13 +162,13 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     cells = cells.join(shared.where("c > 1").select("s"), "s", "left_semi")
     # similar sizes differ by one band at most, so each row lies in two overlapping blocks
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100.0 / percent)))
-    cells = materialize(cells.select("s", "rep", "n", F.explode(F.array(band, band + 1)).alias("block")))
-    involved = materialize(cells.groupBy("rep").agg(F.first("n").alias("n")))
-    chosen = texts.join(involved, F.col("doc_id") == F.col("rep"), "left_semi")
-    whole = chosen.mapInArrow(
-        lambda batches: _sets(batches, None, percent), "doc_id bigint, n bigint, shingles array<bigint>"
+    cells = cells.withColumn("band", band)
+    cells = materialize(cells.select("s", "rep", "n", "band", F.explode(F.array("band", F.col("band") + 1)).alias("block")))
+    heads = materialize(
+        cells.where("block = band").groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("s").alias("head"))
     )
-    sets = materialize(whole.select(F.col("doc_id").alias("rep"), "shingles"))
+    cells = cells.drop("band")
+    n_cells = cells.count()
 
     by = ["s", "block"]
     roots = spark.createDataFrame([], "rep bigint, root bigint")
@@ -157,7 +182,8 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         nonlocal roots, checked, links
         fresh = materialize(_bounded(pairs, percent).join(checked, ["a", "b"], "left_anti"))
         checked = checked.unionByName(fresh)
-        found = materialize(_linked(fresh, sets, percent))
+        likely = materialize(_promising(fresh, heads, percent))
+        found = materialize(_linked(likely, texts, percent))
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(links).select(F.col("node").alias("rep"), "root")
@@ -175,8 +201,7 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         settle(star.select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb"))
         sized = placed().groupBy(*by, "root").agg(F.count(F.lit(1)).alias("c")).groupBy(*by)
         unmet = (F.pow(F.sum("c"), F.lit(2.0)) - F.sum(F.col("c") * F.col("c"))) / 2
-        unmet = sized.agg(unmet.alias("u")).agg(F.sum("u").alias("u"), F.count(F.lit(1)).alias("n")).first()
-        if (unmet.u or 0) <= 2 * unmet.n:
+        if (sized.agg(unmet.alias("u")).agg(F.sum("u")).first()[0] or 0) <= OPEN_CELLS * n_cells:
             break
     # what still joins two components in a column: all of it, each pair once
     mixed = materialize(
