@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propflow.llm import mixing, sharding
+from propflow.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from propflow.session import materialize
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not scored as toxic."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's documents in as many copies as its target asks for."""
     return mixing.mix(docs)
@@ -19,7 +34,10 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("mixing", mix_sources),
+    ("toxicity", remove_toxic),
+    ("ngram_jaccard_join", one_per_group),
+    ("benchmark_decontamination", decontaminated),
+    ("mixing_to_targets", mix_sources),
     ("sharding", shard),
 ]
 

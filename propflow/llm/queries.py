@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from propflow.llm import mixing, ngram_join, quality_rules, sharding, toxicity
+from propflow.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, token_counts, toxicity
 
 
 def _documents(spark, sf, *columns):
@@ -13,6 +13,15 @@ def op1_line_rules(spark, sf):
     return quality_rules.quality_report(_documents(spark, sf, "doc_id", "text"), "doc_id")
 
 
+def op2_qgram_lemma(spark, sf):
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return decontaminate.leaks(_documents(spark, sf, "doc_id", "text"), benchmark)
+
+
+def op4_length_histogram(spark, sf):
+    return token_counts.length_report(token_counts.length_histogram(_documents(spark, sf, "text")))
+
+
 def op5_ngram_join(spark, sf):
     return ngram_join.shingle_components(_documents(spark, sf, "doc_id", "text"))
 
@@ -33,6 +42,8 @@ def op10_weak_supervision(spark, sf):
 
 QUERIES = {
     "op1_line_rules": op1_line_rules,
+    "op2_qgram_lemma": op2_qgram_lemma,
+    "op4_length_histogram": op4_length_histogram,
     "op5_ngram_join": op5_ngram_join,
     "op6_hash_tree": op6_hash_tree,
     "op9_entropy_balance": op9_entropy_balance,
