@@ -22,15 +22,32 @@ from propflow.llm.hashing import lists, mix, shingle_sets, text_slices
 from propflow.session import materialize
 
 PERCENT = 80
-FREQUENT = 1 << 20  # at most so many shingles are put last: 8 MB
-LEAST_FREQUENT = 32
+FREQUENT = 1 << 22  # at most so many shingles are put last: 32 MB
+LEAST_FREQUENT = 16
+POOL = 4 << 20  # shingles whose repetitions a task counts at a time
 BROADCAST_IDS = 1_000_000
 OPEN_CELLS = 4  # cells left between components, per cell of the leading columns, that are multiplied out
-STAR_ROUNDS = 6
+STAR_ROUNDS = 3
+
+
+def _repeated(pool: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows for the shingles that a pool of rows holds twice or more."""
+    values, counts = np.unique(np.concatenate(pool), return_counts=True)
+    values, counts = values[counts > 1], counts[counts > 1]
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": pa.nulls(len(values), pa.int64()),
+            "n": pa.array(counts.astype(np.int64)),
+            "k1": pa.array(values.view(np.int64)),
+            "k2": pa.nulls(len(values), pa.int64()),
+            "often": pa.array(np.ones(len(values), dtype=bool)),
+        }
+    )
 
 
 def _keys(batches):
-    """Per row: set size and a 128-bit key of the set; beside them shingles that a slice repeats."""
+    """Per row: set size and a 128-bit key of the set; beside them shingles that a task sees again."""
+    pool, held = [], 0
     for batch in batches:
         for at, offsets, data in text_slices(batch.column("text")):
             rows = len(offsets) - 1
@@ -39,27 +56,22 @@ def _keys(batches):
             key = np.zeros((2, rows), dtype=np.uint64)
             for k, salt in enumerate((np.uint64(0x1234567), np.uint64(0x89ABCDEF01))):
                 np.add.at(key[k], row, mix(hashed ^ salt))
-            values, counts = np.unique(hashed, return_counts=True)
-            often = counts >= 3
+            pool.append(hashed)
+            held += len(hashed)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id").slice(at, rows),
                     "n": pa.array(n.astype(np.int64)),
                     "k1": pa.array(key[0].view(np.int64)),
                     "k2": pa.array(key[1].view(np.int64)),
-                    "often": pa.array([False] * rows),
+                    "often": pa.array(np.zeros(rows, dtype=bool)),
                 }
             )
-            if often.any():
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.nulls(int(often.sum()), pa.int64()),
-                        "n": pa.array(counts[often].astype(np.int64)),
-                        "k1": pa.array(values[often].view(np.int64)),
-                        "k2": pa.nulls(int(often.sum()), pa.int64()),
-                        "often": pa.array([True] * int(often.sum())),
-                    }
-                )
+            if held >= POOL:
+                yield _repeated(pool)
+                pool, held = [], 0
+    if held:
+        yield _repeated(pool)
 
 
 def _sets(batches, frequent: np.ndarray | None, percent: int):
