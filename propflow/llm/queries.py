@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from propflow.llm import decontaminate, mixing, ngram_join, quality_rules, sharding, token_counts, toxicity
+from propflow.llm import decontaminate, mixing, ngram_join, perplexity, quality_rules, sharding, token_counts, toxicity
 
 
 def _documents(spark, sf, *columns):
@@ -31,6 +31,11 @@ def op6_hash_tree(spark, sf):
     return sharding.shard_slots(docs, sharding.layout(16), sharding.layout(17))
 
 
+def op8_kneser_ney(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return perplexity.quality_report(_documents(spark, sf, "doc_id", "text", "lang"), labels)
+
+
 def op9_entropy_balance(spark, sf):
     return mixing.mix_report(_documents(spark, sf, "doc_id", "text", "source"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op4_length_histogram": op4_length_histogram,
     "op5_ngram_join": op5_ngram_join,
     "op6_hash_tree": op6_hash_tree,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_entropy_balance": op9_entropy_balance,
     "op10_weak_supervision": op10_weak_supervision,
 }
