@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from propflow.llm import decontaminate, mixing, ngram_join, perplexity, quality_rules, sharding, token_counts, toxicity
+from propflow.llm import decontaminate, mixing, ngram_join, perplexity, quality_rules, sharding, suffix_dedup, surrogates, token_counts, toxicity
 
 
 def _documents(spark, sf, *columns):
@@ -18,6 +18,10 @@ def op2_qgram_lemma(spark, sf):
     return decontaminate.leaks(_documents(spark, sf, "doc_id", "text"), benchmark)
 
 
+def op3_surrogates(spark, sf):
+    return surrogates.replace_entities(_documents(spark, sf, "doc_id", "text"))
+
+
 def op4_length_histogram(spark, sf):
     return token_counts.length_report(token_counts.length_histogram(_documents(spark, sf, "text")))
 
@@ -31,6 +35,10 @@ def op6_hash_tree(spark, sf):
     return sharding.shard_slots(docs, sharding.layout(16), sharding.layout(17))
 
 
+def op7_difference_cover(spark, sf):
+    return suffix_dedup.removal_report(_documents(spark, sf, "doc_id", "text"))
+
+
 def op8_kneser_ney(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     return perplexity.quality_report(_documents(spark, sf, "doc_id", "text", "lang"), labels)
@@ -48,9 +56,11 @@ def op10_weak_supervision(spark, sf):
 QUERIES = {
     "op1_line_rules": op1_line_rules,
     "op2_qgram_lemma": op2_qgram_lemma,
+    "op3_surrogates": op3_surrogates,
     "op4_length_histogram": op4_length_histogram,
     "op5_ngram_join": op5_ngram_join,
     "op6_hash_tree": op6_hash_tree,
+    "op7_difference_cover": op7_difference_cover,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_entropy_balance": op9_entropy_balance,
     "op10_weak_supervision": op10_weak_supervision,
