@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-Q = 8
+Q = 12
 WINDOW = 64  # code points of normalised text
 STRIDE = 32
-EDIT_RATE = 0.08
+EDIT_RATE = 0.05
 SHORTEST = 24  # items below this are matched without edits
 BLOCK_CHARS = 1 << 20  # windows that one pass over the documents looks for
-SLICE = 1 << 18
+SLICE = 1 << 18  # code points looked at together
+_GAP = 16  # zeros between texts: more than any budget bridges
 
 _GAPS = re.compile(r"[\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -80,7 +81,7 @@ class WindowIndex:
         self.bound = np.maximum(1, lengths + 1 - Q * (self.budget + 1))
 
     def matches(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, distance, start) of every window that the text holds within its budget."""
+        """(window, distance, a place inside) of every window that the text holds within its budget."""
         grams = _grams(codes)
         spots = np.flatnonzero(self.head[(grams >> np.uint64(42)).astype(np.int64)])
         low = np.searchsorted(self.gram, grams[spots], side="left")
@@ -95,19 +96,20 @@ class WindowIndex:
         # neighbouring diagonals lie in one of them
         step = self.budget[window] + 1
         band = np.floor_divide(diagonal, step)
-        keys = np.concatenate([np.stack([window, band], 1), np.stack([window, band - 1], 1)])
-        places = np.concatenate([self.place[at], self.place[at]])
-        cells = np.unique(np.column_stack([keys, places]), axis=0)
-        bands, counts = np.unique(cells[:, :2], axis=0, return_counts=True)
-        for w, b in bands[counts >= self.bound[bands[:, 0]]]:
+        # one number per (window, band, place): distinct places of a band are distinct q-grams
+        cells = ((window << 32 | band + 1) << 8) | self.place[at]
+        cells = np.unique(np.concatenate([cells, cells - (1 << 8)]))
+        bands, counts = np.unique(cells >> 8, return_counts=True)
+        window, band = bands >> 32, (bands & 0xFFFFFFFF) - 1
+        for w, b in zip(window[counts >= self.bound[window]], band[counts >= self.bound[window]], strict=True):
             first = int(b) * int(self.budget[w] + 1)
             found = banded_distance(self.codes[w], codes, first, first + 2 * int(self.budget[w]) + 1)
-            if found[0] <= self.budget[w]:
-                yield int(w), found[0], found[1]
+            if found <= self.budget[w]:
+                yield int(w), found, max(first, 0) + len(self.codes[w]) // 2
 
 
-def banded_distance(window: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """(least edits, first diagonal) of the window against a stretch of the text.
+def banded_distance(window: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
+    """The least edits that turn the window into a stretch of the text.
 
     Both ends of the stretch are free; paths stay on the diagonals low - k to high + k.
     """
@@ -123,30 +125,48 @@ def banded_distance(window: np.ndarray, text: np.ndarray, low: int, high: int) -
         best = row + differs
         best[:-1] = np.minimum(best[:-1], row[1:] + 1)
         row = np.minimum.accumulate(best - place) + place
-    end = int(np.argmin(row))
-    return int(row[end]), max(low, 0)
+    return int(row.min())
+
+
+def _pools(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes of texts set side by side, where each stretch starts, and whose it is.
+
+    A text beyond a slice is cut into stretches that overlap by more than a window.
+    """
+    gap = np.zeros(_GAP, dtype=np.uint64)
+    parts, starts, owners, size = [], [], [], 0
+    for row, text in enumerate(texts):
+        codes = _codes(normalise(text.as_py() or ""))
+        for at in range(0, max(len(codes) - 2 * WINDOW, 1), SLICE):
+            part = codes[at : at + SLICE + 2 * WINDOW]
+            parts += [part, gap]
+            starts.append(size)
+            owners.append(row)
+            size += len(part) + _GAP
+            if size >= SLICE:
+                yield np.concatenate(parts), np.array(starts), np.array(owners)
+                parts, starts, owners, size = [], [], [], 0
+    if size:
+        yield np.concatenate(parts), np.array(starts), np.array(owners)
 
 
 def _search(batches, index: WindowIndex):
-    names = {"doc_id": pa.int64(), "item_id": pa.int64(), "window_start": pa.int32(), "distance": pa.int32()}
     for batch in batches:
-        out: dict[str, list] = {name: [] for name in names}
-        ids = batch.column("doc_id").to_pylist()
-        for doc, text in zip(ids, batch.column("text"), strict=True):
-            text = text.as_py()
-            if not text:
-                continue
-            codes = _codes(normalise(text))
-            best: dict[int, int] = {}
-            overlap = 2 * WINDOW
-            for at in range(0, max(len(codes) - overlap, 1), SLICE):
-                for w, distance, _ in index.matches(codes[at : at + SLICE + overlap]):
-                    best[w] = min(distance, best.get(w, distance))
-            for w, distance in sorted(best.items()):
-                item, start, _ = index.windows[w]
-                for name, value in zip(names, (doc, item, start, distance), strict=True):
-                    out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in names.items()], list(names))
+        best: dict[tuple[int, int], int] = {}
+        for codes, starts, owners in _pools(batch.column("text")):
+            for w, distance, place in index.matches(codes):
+                key = int(owners[np.searchsorted(starts, place, side="right") - 1]), w
+                best[key] = min(distance, best.get(key, distance))
+        keys = sorted(best)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(pa.array([row for row, _ in keys], pa.int64())),
+                pa.array([index.windows[w][0] for _, w in keys], pa.int64()),
+                pa.array([index.windows[w][1] for _, w in keys], pa.int32()),
+                pa.array([best[key] for key in keys], pa.int32()),
+            ],
+            ["doc_id", "item_id", "window_start", "distance"],
+        )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
