@@ -16,6 +16,7 @@ ENTRIES = 256  # stems in the learned lexicon
 CANDIDATES = 4_000  # best stems looked at when the lexicon is drawn up
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 LEXICON_VOTERS = 12
+EVIDENCE = 12.0  # log likelihood ratio that a stem needs: above the log of how many stems are tried
 WORD = r"\p{L}{3,}"
 
 
@@ -50,8 +51,12 @@ def learn_lexicon(rows: DataFrame, most: int = ENTRIES) -> list[str]:
         return []
     share = (F.col("pos") + 0.5) / (sizes.pos + 1.0)
     lift = share / ((F.col("neg") + 0.5) / (sizes.neg + 1.0))
-    counts = stem_counts(rows).where(F.col("pos") >= max(2, sizes.pos // 200)).withColumn("lift", lift)
-    best = counts.where("lift >= 3").orderBy(F.desc(F.col("pos") * F.log("lift")), "stem").limit(CANDIDATES)
+    base, n = sizes.pos / (sizes.pos + sizes.neg), F.col("pos") + F.col("neg")
+    against = F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / n / (1 - base))).otherwise(0.0)
+    evidence = F.col("pos") * F.log(F.col("pos") / n / base) + against
+    counts = stem_counts(rows).where("pos > 0").withColumns({"lift": lift, "evidence": evidence})
+    best = counts.where((F.col("lift") >= 3) & (F.col("evidence") >= EVIDENCE))
+    best = best.orderBy(F.desc("evidence"), "stem").limit(CANDIDATES)
     found = {r.stem: r for r in best.collect()}
     kept = []
     for stem, row in found.items():

@@ -1,0 +1,221 @@
+"""Edge rows and brute force for the training-data operators."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import pytest
+
+from propflow.llm import (
+    decontaminate,
+    mixing,
+    ngram_join,
+    perplexity,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    surrogates,
+    token_counts,
+    toxicity,
+)
+from propflow.llm.queries import ORACLE, QUERIES
+from tools.oracle import compare, connect
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, shard string, row string"
+BASE = " ".join(f"word{i}" for i in range(60)) + "."
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+
+
+def rows(*texts, first=0):
+    return [(first + i, t, "en", f"s{i % 2}" if i % 3 else None, 1, "x", "y", "z") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Null, empty, blank, short, repeated, near and very long texts; a null id; columns whose names clash."""
+    texts = [None, "", " \n\t", "one two", "one two", BASE, BASE, BASE + " more", LONG, "Ünïcödé 漢字 текст 😀"]
+    data = [*rows(*texts), (None, BASE, None, None, None, None, None, None), rows(BASE)[0]]
+    return spark.createDataFrame(data, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id bigint, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(1, BASE), (2, None), (3, ""), (4, BASE)], "item_id bigint, text string")
+
+
+def report_calls(labels, benchmark):
+    return {
+        "op1": lambda d: quality_rules.quality_report(d, "doc_id"),
+        "op2": lambda d: decontaminate.leaks(d, benchmark),
+        "op3": lambda d: surrogates.replace_entities(d),
+        "op5": lambda d: ngram_join.shingle_components(d),
+        "op6": lambda d: sharding.shard_slots(d, sharding.layout(16), sharding.layout(17)),
+        "op7": lambda d: suffix_dedup.removal_report(d),
+        "op8": lambda d: perplexity.quality_report(d, labels),
+        "op9": lambda d: mixing.mix_report(d),
+        "op10": lambda d: toxicity.toxicity_report(d, labels),
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_edge_rows_and_empty_tables(edge, none, labels, benchmark, name):
+    call = report_calls(labels, benchmark)[name]
+    found = call(edge).collect()
+    if name == "op2":
+        assert {(r.doc_id, r.item_id) for r in found} == {(d, i) for d in (0, 5, 6, 7, None) for i in (1, 4)}
+    else:
+        assert len(found) == edge.count()
+    assert call(none).collect() == []
+
+
+def test_lengths_of_edge_rows(edge, none):
+    report = token_counts.length_report(token_counts.length_histogram(edge)).collect()
+    assert sum(r.n_docs for r in report) == edge.count()
+    longest = max(report, key=lambda r: r.n_tokens)
+    assert longest.docs_over == 0 and longest.truncated_tokens == sum(r.n_tokens * r.n_docs for r in report)
+    for r in report:
+        assert r.truncated_tokens == sum(min(x.n_tokens, r.n_tokens) * x.n_docs for x in report)
+    assert token_counts.length_report(token_counts.length_histogram(none)).collect() == []
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_sql_agrees(spark):
+    duck = connect(SF)
+    for name, sql in ORACLE.items():
+        assert compare(QUERIES[name](spark, SF), duck, sql) == []
+
+
+def test_components_equal_brute_force(spark):
+    sets = {}
+    for r in documents(spark).collect():
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), r.text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        grams = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        sets[r.doc_id] = grams or ({tuple(words)} if words else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shared = defaultdict(int)
+    columns = defaultdict(list)
+    for i, grams in sets.items():
+        for g in grams:
+            for other in columns[g]:
+                shared[other, i] += 1
+            columns[g].append(i)
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op5_ngram_join"](spark, SF).collect()}
+    assert found == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_removed_bytes_equal_brute_force(spark):
+    seen, expected = set(), {}
+    for r in sorted(documents(spark).collect(), key=lambda r: r.doc_id):
+        data = (r.text or "").encode()
+        gone = bytearray(len(data))
+        for k in range(len(data) - 99):
+            part = data[k : k + 100]
+            if part in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(part)
+        kept = bytes(c for c, f in zip(data, gone, strict=True) if not f)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
+        expected[r.doc_id] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    found = {r.doc_id: tuple(r)[1:] for r in QUERIES["op7_difference_cover"](spark, SF).collect()}
+    assert found == expected
+
+
+def test_shards_move_only_into_the_new_one(spark):
+    found = QUERIES["op6_hash_tree"](spark, SF).collect()
+    assert {r.grown_shard for r in found if r.grown_shard != r.shard} <= {16}
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_weight_change_moves_rows_into_its_subtree_only(spark):
+    old = sharding.layout(16)
+    new = sharding.layout(16)
+    new["region0"]["rack1"][5] = 2.0
+    ids = spark.range(4000).withColumnRenamed("id", "doc_id")
+    before = {r.doc_id: r.shard for r in sharding.assign_shards(ids, old).collect()}
+    after = {r.doc_id: r.shard for r in sharding.assign_shards(ids, new).collect()}
+    assert {after[i] for i in before if after[i] != before[i]} == {5}
+
+
+def test_mix_comes_near_its_targets(spark):
+    sources = {r.doc_id: r.source for r in documents(spark).collect()}
+    taken, target = defaultdict(int), {}
+    found = QUERIES["op9_entropy_balance"](spark, SF).collect()
+    for r in found:
+        assert r.taken <= 3 * r.size
+        taken[sources[r.doc_id]] += r.taken
+        target[sources[r.doc_id]] = r.target
+    largest = max(r.size for r in found)
+    assert all(abs(taken[s] - target[s]) <= largest / 2 + 1 for s in target)
+    assert sum(target.values()) == pytest.approx(sum(r.size for r in found))
+    assert found == QUERIES["op9_entropy_balance"](spark, SF).collect()
+
+
+def test_surrogates_are_typed_distinct_and_coreferent(spark):
+    texts = [f"Mail ana{i}@host.org from 10.0.0.{i}, card 4111 1111 1111 11{i:02d}." for i in range(40)]
+    texts += ["Mrs. Anna Miller wrote. Later MILLER and Mrs. Miller met Anna Miller.", "Иван Петров и Анна Петрова"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in surrogates.replace_entities(frame, b"k").collect()}
+    fakes = [re.fullmatch(r"Mail (\w+@\w+\.example\.org) from ([\d.]+), card ([\d ]{19})\.", found[i].text).groups() for i in range(40)]
+    assert all(len(set(column)) == 40 for column in zip(*fakes, strict=True))
+    assert found[0].n_entities == 3 and "ana0" not in found[0].text
+    assert "Anna Miller" not in found[40].text
+    again = {r.doc_id: r.text for r in surrogates.replace_entities(frame, b"k").collect()}
+    assert again == {i: r.text for i, r in found.items()}
+
+
+def test_leaks_survive_case_marks_and_few_edits(spark):
+    item = "The quick brown fox jumps over the lazy dog while seven wizards brew odd potions at midnight."
+    edited = item.upper().replace("SEVEN", "SEVFN").replace(" ", "  ")
+    docs = spark.createDataFrame([(1, "x " * 50 + edited + " y" * 50), (2, "unrelated words " * 30)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 9)]
+
+
+def test_trusted_text_is_kept_and_noise_is_not(spark):
+    found = {r.doc_id: r.kept for r in QUERIES["op8_kneser_ney"](spark, SF).collect()}
+    marks = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    good = [found[r.doc_id] for r in marks if r.quality == 1]
+    assert sum(good) >= 0.95 * len(good)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    found = {r.doc_id: r for r in QUERIES["op10_weak_supervision"](spark, sf).collect()}
+    marks = [(r.toxic, found[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    held = [(t, r.predicted) for t, r in marks if r.held_out]
+    assert sum(t == p for t, p in held) >= 0.93 * len(held)
+
+
+def test_pipeline_runs(spark):
+    import corpus_pipeline
+
+    found = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "text", "region", "rack", "shard"} <= set(found.columns) and 0 < found.count() <= 400
