@@ -10,8 +10,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-# A finished line: a closing mark, quotes and brackets after it allowed.
-FINISHED = r"""[.!?:;…。！？؟।]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
+# A finished line ends in one of these marks; blanks, quotes and brackets may follow.
+MARKS = ".!?:;…。！？؟।"
+CLOSING = BLANKS + "\"'”’»)]"
 # Marks in a row, as in shouting or filler.
 RUNS = r"[!?]{2,}|[,;]{2,}|[.]{4,}|[-_=~]{4,}"
 SEPARATORS = r"[|»›·•→]|&gt;| > | :: "
@@ -20,9 +21,12 @@ NAVIGATION = (
     r"read more|see more|show more|skip to content|site ?map|contact us|about us|faq|my account|cart)[^a-z]*\z"
 )
 BOILERPLATE = (
-    r"all rights reserved|copyright|©|licensed under|license:|cookie|privacy policy|terms of (use|service)|"
-    r"javascript|lorem ipsum|newsletter|click here|powered by|\{|\}"
-)
+    "all rights reserved", "copyright", "©", "licensed under", "license:", "cookie", "privacy policy",
+    "terms of use", "terms of service", "javascript", "lorem ipsum", "newsletter", "click here",
+    "powered by", "{", "}",
+)
+# What a line must hold before symbols, runs or separators can fail it: one look instead of three.
+_SUSPECT = r"[#*$%&|<>›»·•→]|::|[!?]{2}|[,;]{2}|[.]{4}|[-_=~]{4}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,13 +46,13 @@ def symbol_count(text: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words inside three-word windows that a text has twice or more, first ones included.
 
-    Windows are sorted with their places, equal neighbours are marked, and the marked starts,
+    Windows are sorted by 64-bit hash and place, equal neighbours are marked, and the marked starts,
     in order, each add the words that the start before does not cover.
     """
 
     def windows(w: Column) -> Column:
         heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-        gram = lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p"))
+        gram = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p"))
         return F.sort_array(F.transform(heads, gram))
 
     def starts(s: Column) -> Column:
@@ -65,22 +69,29 @@ def repeat_words(words: Column) -> Column:
     return let(words, lambda w: let(windows(w), lambda s: covered(starts(s))))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that a punctuation, navigation or boilerplate rule removes; blank lines pass."""
-    chars, low = solid_chars(line), F.lower(line)
-    punctuation = (
-        ~line.rlike(FINISHED)
-        | (symbol_count(line) * 10 >= chars)
-        | (F.regexp_count(line, F.lit(RUNS)) * 4 >= F.regexp_count(line, F.lit(WORD)))
+def line_fails(line: Column, chars: Column) -> Column:
+    """True for a line that a punctuation, navigation or boilerplate rule removes; blank lines pass.
+
+    `chars` are the line's code points outside white space.
+    """
+    runs = F.regexp_count(line, F.lit(RUNS))
+    finished = F.substring(F.rtrim(line, F.lit(CLOSING)), -1, 1).isin(*MARKS)
+    marks = (
+        (symbol_count(line) * 10 >= chars)
+        | (F.regexp_count(line, F.lit(SEPARATORS)) >= 3)
+        | ((runs > 0) & (runs * 4 >= F.regexp_count(line, F.lit(WORD))))
     )
-    navigation = (F.regexp_count(line, F.lit(SEPARATORS)) >= 3) | low.rlike(NAVIGATION)
-    return (chars > 0) & (navigation | punctuation | low.rlike(BOILERPLATE))
+    low = F.lower(line)
+    phrase = low.contains(BOILERPLATE[0])
+    for words in BOILERPLATE[1:]:
+        phrase = phrase | low.contains(words)
+    return (chars > 0) & (~finished | (line.rlike(_SUSPECT) & marks) | phrase | low.rlike(NAVIGATION))
 
 
 def _line_verdicts(text: Column) -> Column:
-    lines = F.split(text, "\n")
+    sized = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), solid_chars(x).alias("chars")))
     return F.transform(
-        lines, lambda x: F.struct(x.alias("line"), solid_chars(x).alias("chars"), line_fails(x).alias("fails"))
+        sized, lambda x: F.struct(x["line"], x["chars"], line_fails(x["line"], x["chars"]).alias("fails"))
     )
 
 
@@ -101,15 +112,16 @@ def quality_report(
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
-    solid = F.filter(F.split(text, "\n"), lambda x: solid_chars(x) > 0)
     total = lambda marks, test: F.aggregate(
         marks, F.lit(0), lambda acc, x: acc + F.when(test(x), x["chars"]).otherwise(0)
     )
+    repeats = lambda solid: F.size(solid) - F.size(F.array_distinct(solid))
     lines = let(
         _line_verdicts(text),
         lambda marks: F.struct(
             F.size(F.filter(marks, lambda x: x["fails"])).alias("removed"),
             total(marks, lambda x: x["fails"]).alias("lost"),
+            repeats(F.transform(F.filter(marks, lambda x: x["chars"] > 0), lambda x: x["line"])).alias("dup"),
         ),
     )
     counted = docs.select(
@@ -117,7 +129,6 @@ def quality_report(
         let(words, lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeated"))).alias("_words"),
         solid_chars(text).alias("_chars"),
         symbol_count(text).alias("_symbols"),
-        let(solid, lambda s: F.size(s) - F.size(F.array_distinct(s))).alias("_dup"),
         lines.alias("_lines"),
     )
     n, repeated = F.col("_words")["n"].cast("long"), F.col("_words")["repeated"].cast("long")
@@ -129,7 +140,7 @@ def quality_report(
         n.alias("n_words"),
         F.col("_chars").cast("long").alias("word_chars"),
         F.col("_symbols").cast("long").alias("n_symbols"),
-        F.col("_dup").cast("long").alias("n_dup_lines"),
+        F.col("_lines")["dup"].cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         failed.alias("base_failed"),
         kept.alias("kept"),
@@ -151,6 +162,8 @@ def _quoted(pattern: str) -> str:
 
 def quality_sql(most_lost: float = 0.3, fewest_words: int = 50, most_repeated: int = 50) -> str:
     """The same report in DuckDB's SQL, over `documents`."""
+    closing = " || ".join(f"chr({ord(c)})" for c in CLOSING)
+    phrases = " OR ".join(f"contains(low, '{words}')" for words in BOILERPLATE)
     blanks, symbols = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -163,11 +176,11 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 m AS (SELECT doc_id, line, lower(line) AS low, length(regexp_replace(line, '{blanks}', '', 'g')) AS chars FROM l),
 v AS (SELECT doc_id, line, chars, chars > 0 AND (
-    NOT regexp_matches(line, {_quoted(FINISHED)})
+    NOT coalesce(contains('{MARKS}', nullif(right(rtrim(line, {closing}), 1), '')), false)
     OR (length(line) - length(regexp_replace(line, '{symbols}', '', 'g'))) * 10 >= chars
     OR len(regexp_extract_all(line, {_quoted(RUNS)})) * 4 >= len(regexp_extract_all(line, '{WORD}'))
     OR len(regexp_extract_all(line, {_quoted(SEPARATORS)})) >= 3
-    OR regexp_matches(low, {_quoted(NAVIGATION)}) OR regexp_matches(low, {_quoted(BOILERPLATE)})) AS fails FROM m),
+    OR regexp_matches(low, {_quoted(NAVIGATION)}) OR {phrases}) AS fails FROM m),
 x AS (SELECT doc_id, count(*) FILTER (chars > 0) - count(DISTINCT line) FILTER (chars > 0) AS dup,
     count(*) FILTER (fails) AS removed, coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS lost FROM v GROUP BY doc_id),
 c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{blanks}', '', 'g'))::BIGINT AS word_chars,
