@@ -104,11 +104,9 @@ def id_overlap(spark, sf):
 
 def name_join_left(spark, sf):
     customers = table(spark, sf, "customer", "c_custkey", "c_name")
-    pending = table(spark, sf, "orders", "o_custkey", "o_totalprice", "o_orderstatus").where(
-        "o_orderstatus = 'P'"
-    )
+    orders = table(spark, sf, "orders", "o_custkey", "o_totalprice")
     name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
-    named = pending.groupBy(name.alias("c_name")).agg(F.max("o_totalprice").alias("largest"))
+    named = orders.groupBy(name.alias("c_name")).agg(F.max("o_totalprice").alias("largest"))
     return name_join(customers, named, "c_name", "left").select("c_custkey", "c_name", "largest")
 
 
@@ -308,7 +306,7 @@ SELECT count(*) AS overlap FROM (SELECT doc_id FROM documents INTERSECT SELECT d
     "name_join_left": """
 SELECT c_custkey, c_name, largest FROM customer LEFT JOIN (
   SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name, max(o_totalprice) AS largest
-  FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_name = name
+  FROM orders GROUP BY 1) ON c_name = name
 """,
     "first_seen_n": """
 SELECT o_custkey, min(o_orderkey) AS first_seen FROM orders GROUP BY o_custkey

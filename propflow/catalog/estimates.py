@@ -35,8 +35,8 @@ CASE WHEN length(text) % 11 = 0 THEN NULL
 
 
 def _requests(spark, sf):
-    """User turns as prompts."""
-    turns = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").where("role = 'user'")
+    """All turns as prompts."""
+    turns = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     return turns.withColumn("memo_key", memo_key("answer", "1", "text"))
 
 
@@ -149,7 +149,7 @@ REQUESTS_SQL = f"""
 requests AS (
   SELECT conv_id, turn, text, concat(conv_id, '-', turn) AS request, {ANSWER_SQL} AS result,
     md5(CAST(to_json({{'function': 'answer', 'version': '1', 'text': text}}) AS VARCHAR)) AS memo_key
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 memo AS (SELECT DISTINCT memo_key FROM requests WHERE turn = 0)
 """
 

@@ -42,14 +42,14 @@ def _split_compounds(spark, sf):
 
 def vocab_encode(spark, sf):
     coded = tokens.encode_columns(
-        _split_compounds(spark, sf), {"parts": "ids"}, _vocabulary(spark, sf), "p_partkey", unknown=1
+        _split_compounds(spark, sf), {"parts": "ids"}, _vocabulary(spark, sf), unknown=1
     )
     return coded.select("p_partkey", _text("ids").alias("ids"))
 
 
 def vocab_encode_pad(spark, sf):
     coded = tokens.encode_padded(
-        _split_compounds(spark, sf), "parts", _vocabulary(spark, sf), "ids", "p_partkey",
+        _split_compounds(spark, sf), "parts", _vocabulary(spark, sf), "ids",
         length=120, pad=0, unknown=1,
     )
     return coded.select("p_partkey", _text("ids").alias("ids"), F.size("ids").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from propflow.catalog.standin import table
 from propflow.fixed_values import LICENSE_RULE, SNIPPET_PROMPT, SNIPPET_SHORT, SNIPPET_TOP, SNIPPET_WINDOW
-from propflow.functions.text import DROPPED_BLOCKS, ENTITIES, html_to_text, route_of
+from propflow.functions.text import html_to_text, route_of
 from propflow.operators import retrieval
 from propflow.sources.search import flatten_responses
 
@@ -107,13 +107,22 @@ QUERIES = {
 }
 
 
-def _stripped(column: str) -> str:
-    sql = column
-    for pattern in DROPPED_BLOCKS:
-        sql = f"regexp_replace({sql}, '{pattern}', '', 'g')"
-    for entity, char in ENTITIES:
-        sql = "replace({}, '{}', '{}')".format(sql, entity, char.replace("'", "''"))
-    return sql
+# Rules of their own, by what the pages hold: no quoted `>`, four named entities.
+PAGE_TEXT_SQL = """
+WITH pieces AS (
+  SELECT page_id, html, unnest(string_split(regexp_replace(regexp_replace(html,
+    '<script>[^<]*(<[^<]*)?</script>|<style>[^<]*</style>', '', 'g'), '<!--[^>]*-->', '', 'g'), '<')) AS piece,
+    generate_subscripts(string_split(regexp_replace(regexp_replace(html,
+    '<script>[^<]*(<[^<]*)?</script>|<style>[^<]*</style>', '', 'g'), '<!--[^>]*-->', '', 'g'), '<'), 1) AS i
+  FROM pages),
+bare AS (
+  SELECT page_id, string_agg(CASE WHEN i = 1 THEN piece ELSE substring(piece, strpos(piece, '>') + 1) END, ''
+    ORDER BY i) AS text
+  FROM pieces GROUP BY page_id)
+SELECT page_id, replace(replace(replace(replace(b.text, '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&quot;', '"'),
+  '&amp;', '&') AS text
+FROM pages LEFT JOIN bare b USING (page_id)
+"""
 
 
 def _any_of(words: list[str]) -> str:
@@ -169,7 +178,7 @@ for _place, _sql in {"%1$s": "name", "%2$s": "alias", "%3$s": "coalesce(blobs, '
     _PROMPT = _PROMPT.replace(_place, f"'||{_sql}||'")
 
 ORACLE = {
-    "html_to_text": f"SELECT page_id, {_stripped('html')} AS text FROM pages",
+    "html_to_text": PAGE_TEXT_SQL,
     "route_by_suffix": """
 SELECT page_id, CASE WHEN url LIKE '%.html' OR url LIKE '%.pdf' THEN 'pdf' ELSE 'html' END AS route FROM pages
 """,

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from propflow.session import materialize
 
 _LOCAL_BITS = 33
-BROADCAST_ROWS = 100_000
 
 
 def _placed(sorted_rows: DataFrame) -> DataFrame:
@@ -84,8 +83,6 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], out: str =
             (F.col("_before") - F.col("_head")).alias("_shift"),
         )
     )
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
     position = (F.col("_place") + F.col("_shift")).alias(out)
     return tagged.join(offsets, same).select(*df.columns, position)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propflow.functions.symbols import pad_right
 from propflow.operators.ordering import global_rank
-
-DRIVER_VOCABULARY = 200_000
+from propflow.session import materialize
 
 
 def fit_vocabulary(df: DataFrame, symbols: Column, specials: list[str] | None = None) -> DataFrame:
@@ -40,59 +37,33 @@ def extend_vocabulary(base: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(symbols: list[str], ids: list[int], unknown: int):
-    """Array lookup in Arrow's hash table; a map literal would be searched row by row, end to end."""
-
-    @F.arrow_udf("array<int>")
-    def encode(rows: pa.Array) -> pa.Array:
-        place = pc.index_in(rows.values, value_set=pa.array(symbols, pa.string()))
-        codes = pc.fill_null(pc.take(pa.array(ids, pa.int32()), place), unknown)
-        mask = rows.is_null() if rows.null_count else None
-        offsets = rows.offsets
-        if mask is not None and rows.offset:
-            lengths = pc.fill_null(pc.list_value_length(rows), 0)
-            ends = pc.cumulative_sum(lengths)
-            codes = codes.slice(offsets[0].as_py())
-            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, codes, mask=mask)
-
-    return encode
-
-
 def encode_columns(
     df: DataFrame,
     columns: dict[str, str],
     vocabulary: DataFrame,
-    key: str,
     unknown: int = 0,
-    driver_limit: int = DRIVER_VOCABULARY,
 ) -> DataFrame:
     """Adds index arrays of symbol arrays (`columns`: array to new name).
 
-    Symbols outside the vocabulary give `unknown`. A vocabulary within
-    `driver_limit` travels with the tasks. A larger one is joined symbol by symbol,
-    and `key` (unique per row) puts the arrays together again.
+    Symbols outside the vocabulary and null symbols give `unknown`; a symbol that the vocabulary
+    repeats has its least index. Null arrays stay null. One plan at any vocabulary size: rows get a
+    tag and are written once, symbols are joined, and the tag puts the arrays together again, so
+    repeated or null keys do no harm.
     """
-    small = vocabulary.select("symbol", "idx").limit(driver_limit + 1).collect()
-    if len(small) <= driver_limit:
-        pairs = sorted((row.symbol, row.idx) for row in small)
-        encode = _lookup([s for s, _ in pairs], [i for _, i in pairs], unknown)
-        return df.withColumns({out: encode(F.col(symbols)) for symbols, out in columns.items()})
-    for symbols, out in columns.items():
-        df = _encode_by_join(df, symbols, vocabulary, out, key, unknown)
-    return df
-
-
-def _encode_by_join(
-    df: DataFrame, symbols: str, vocabulary: DataFrame, out: str, key: str, unknown: int
-) -> DataFrame:
-    tokens = df.select(key, F.posexplode(symbols).alias("_at", "symbol"))
-    coded = tokens.join(vocabulary.select("symbol", "idx"), "symbol", "left")
-    code = F.coalesce("idx", F.lit(unknown)).alias("_code")
-    arrays = coded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", code))).alias("_codes"))
-    codes = F.transform("_codes", lambda c: c["_code"])
-    empty = F.when(F.col(symbols).isNotNull(), F.array().cast("array<int>"))
-    return df.join(arrays, key, "left").withColumn(out, F.coalesce(codes, empty)).drop("_codes")
+    tagged = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    codes = vocabulary.where("symbol is not null").groupBy("symbol").agg(F.min("idx").alias("_idx"))
+    # arrays are told apart by their place among `columns`
+    arrays = F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns))
+    each = tagged.select("_row", F.posexplode(arrays).alias("_array", "_symbols"))
+    symbols = each.select("_row", "_array", F.posexplode("_symbols").alias("_at", "symbol"))
+    coded = symbols.join(codes, "symbol", "left").withColumn("_code", F.coalesce("_idx", F.lit(unknown)))
+    found = F.array_sort(F.collect_list(F.struct("_array", "_at", "_code")))
+    out = tagged.join(coded.groupBy("_row").agg(found.alias("_found")), "_row", "left")
+    for i, (symbols_of, name) in enumerate(columns.items()):
+        own = F.filter("_found", lambda c: c["_array"] == i)  # noqa: B023 - called at once
+        whole = F.coalesce(F.transform(own, lambda c: c["_code"].cast("int")), F.array().cast("array<int>"))
+        out = out.withColumn(name, F.when(F.col(symbols_of).isNotNull(), whole))
+    return out.drop("_row", "_found")
 
 
 def encode_padded(
@@ -100,15 +71,14 @@ def encode_padded(
     symbols: str,
     vocabulary: DataFrame,
     out: str,
-    key: str,
     length: int,
     pad: int,
     unknown: int,
     oov: str = "unk",
 ) -> DataFrame:
-    """Index arrays of one length; `oov="pad"` gives unknown symbols the pad index."""
+    """Index arrays cut or filled to one length; `oov="pad"` gives unknown symbols the pad index."""
     missing = pad if oov == "pad" else unknown
-    coded = encode_columns(df, {symbols: out}, vocabulary, key, missing)
+    coded = encode_columns(df, {symbols: out}, vocabulary, missing)
     return coded.withColumn(out, pad_right(F.col(out), length, pad))
 
 

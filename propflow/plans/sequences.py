@@ -44,7 +44,7 @@ def tokenised(
         "_prop": "property_tokenized",
         "_value": "value_tokenized",
     }
-    coded = encode_columns(known, names, vocabulary, key, ids["<unk>"])
+    coded = encode_columns(known, names, vocabulary, ids["<unk>"])
     tensor = pack_sequence(
         F.col("split_selfies_tokenized"),
         F.col("property_tokenized"),

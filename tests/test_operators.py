@@ -252,22 +252,28 @@ def test_vocabulary_is_dense_and_extends(spark, partitions):
     assert rows_of(tokens.extend_vocabulary(base, more)) == [("<pad>", 0), ("a", 1), ("b", 2), ("c", 3), ("d", 4)]
 
 
-@pytest.mark.parametrize("limit", [10, 1], ids=["with the tasks", "joined"])
-def test_encode_both_ways(spark, limit):
+def test_encode_columns(spark):
     vocabulary = spark.createDataFrame([("a", 5), ("b", 6)], "symbol string, idx int")
     data = [(1, ["a", "x", "b"]), (2, []), (3, None), (4, ["b", None, "b"]), (5, ["a"])]
     df = spark.createDataFrame(data, "id int, s array<string>")
-    got = tokens.encode_columns(df, {"s": "e"}, vocabulary, "id", unknown=9, driver_limit=limit)
+    got = tokens.encode_columns(df, {"s": "e"}, vocabulary, unknown=9)
     assert {r.id: r.e for r in got.collect()} == {1: [5, 9, 6], 2: [], 3: None, 4: [6, 9, 6], 5: [5]}
 
 
+def test_encode_columns_with_repeated_keys_and_symbols(spark):
+    vocabulary = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "symbol string, idx int")
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (None, ["b"])], "id int, s array<string>")
+    got = tokens.encode_columns(df.withColumn("t", F.reverse("s")), {"s": "e", "t": "f"}, vocabulary)
+    assert sorted((r.e, r.f) for r in got.collect()) == [([1, 3], [3, 1]), ([3], [3]), ([3], [3])]
+
+
 def test_encode_padded(spark):
     vocabulary = spark.createDataFrame([("a", 5)], "symbol string, idx int")
     df = spark.createDataFrame([(1, ["a"] * 121), (2, None), (3, ["z"])], "id int, s array<string>")
-    unk = tokens.encode_padded(df, "s", vocabulary, "e", "id", 120, pad=0, unknown=9)
+    unk = tokens.encode_padded(df, "s", vocabulary, "e", 120, pad=0, unknown=9)
     got = {r.id: r.e for r in unk.collect()}
     assert got == {1: [5] * 120, 2: [0] * 120, 3: [9] + [0] * 119}
-    pad = tokens.encode_padded(df, "s", vocabulary, "e", "id", 120, pad=0, unknown=9, oov="pad")
+    pad = tokens.encode_padded(df, "s", vocabulary, "e", 120, pad=0, unknown=9, oov="pad")
     assert {r.id: r.e for r in pad.collect()}[3] == [0] * 120
 
 
