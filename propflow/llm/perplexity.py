@@ -21,6 +21,7 @@ from propflow.session import materialize
 
 ORDER = 4
 POOL = 2 << 20  # grams counted at a time in a task
+BROADCAST_IDS = 1_000_000  # trusted ids, 8 bytes each, that travel to the texts instead of the texts to them
 SHARD_ROWS = 4 << 20  # grams of the model that one pass over the documents holds: 64 MB
 QUANTILE = 0.99  # of the trusted texts of a language
 GRID = 1000  # log perplexities are ranked on a grid of 1 / GRID
@@ -212,7 +213,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     Trusted are the documents labelled of good quality. A language without trusted text, the null
     language included, uses the limit of all trusted text; without any trusted text all are kept.
     """
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
+    good = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct())
+    if good.count() <= BROADCAST_IDS:  # else Spark picks the join
+        good = F.broadcast(good)
     trusted = docs.join(good, F.col("doc_id") == F.col("_good"), "left_semi")
     model, floor = train(trusted)
     scored = materialize(perplexities(docs, model, floor))
