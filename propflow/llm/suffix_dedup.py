@@ -6,7 +6,8 @@ cover suffix. A remaining suffix is its first bytes and a cover suffix; any two
 cover together after 0, 1 or 2 bytes, so three sorted lists hold every pair that can be equal, and
 neighbours with one 100-byte prefix are repeats. Before that, exact copies are set aside and bytes
 that lie in no repeated string are left out: every 100-byte string holds the least 32-byte gram of
-its window, and a gram that occurs once repeats nothing.
+its window, and a gram that occurs once repeats nothing. What is left is cut at grams into chunks;
+equal chunks are sorted once, as the earliest of them holds the earliest place of each string.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from propflow.llm.hashing import prefix_sums, span_hashes
+from propflow.llm.hashing import mix, prefix_sums, span_hashes
 from propflow.session import materialize
 
 LENGTH = 100
 GRAM = 32
+ANCHORS_PER_CHUNK = 16  # a chunk holds so many least grams on average
 LEVELS = (3, 9, 27)  # bytes that the names of each level cover; their triples cover three times that
 
 
@@ -54,21 +56,39 @@ def _anchors(batches):
                 )
 
 
-def _pieces(batches):
-    """(doc, at, data): the stretches of a text around its repeated grams."""
+def _cuts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places chosen by the gram that starts there, so that copies of a stretch are cut alike.
+
+    Of chosen places in a row, each near the one before, only the first is a cut: a run of one byte
+    stays whole.
+    """
+    hashed = span_hashes(prefix_sums(data), places, places + GRAM)
+    chosen = places[mix(hashed) % np.uint64(ANCHORS_PER_CHUNK) == 0]
+    return chosen[np.diff(chosen, prepend=-LENGTH) > LENGTH - GRAM]
+
+
+def _chunks(batches):
+    """(doc, at, data): the stretches of a text around its repeated grams, in chunks.
+
+    A chunk reaches one byte less than LENGTH into the next one, so each string of a stretch lies
+    in exactly one chunk.
+    """
     for batch in batches:
         for doc, text, places in zip(*(batch.column(c) for c in ("doc_id", "text", "places")), strict=True):
             data, places = _bytes(text), np.sort(np.array(places.as_py(), dtype=np.int64))
             low = np.maximum(places - (LENGTH - GRAM), 0)
-            high = np.minimum(places + LENGTH, len(data))
-            new = np.concatenate([[True], low[1:] > np.maximum.accumulate(high)[:-1]])
+            high = np.maximum.accumulate(np.minimum(places + LENGTH, len(data)))
+            new = np.concatenate([[True], low[1:] > high[:-1]])
             starts = low[new]
-            ends = np.maximum.accumulate(high)[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(high) - 1]])]
+            ends = high[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(high) - 1]])]
+            first = np.unique(np.concatenate([starts, _cuts(data, places)]))
+            own_end = ends[np.searchsorted(starts, first, side="right") - 1]
+            last = np.minimum(np.append(first[1:], len(data)) + LENGTH - 1, own_end)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([doc.as_py()] * len(starts), pa.int64()),
-                    pa.array(starts),
-                    pa.array([data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    pa.array([doc.as_py()] * len(first), pa.int64()),
+                    pa.array(first),
+                    pa.array([data[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
                 ],
                 ["doc", "at", "data"],
             )
@@ -178,13 +198,22 @@ def _suffixes(batches):
                 )
 
 
-def repeated_starts(reps: DataFrame) -> DataFrame:
-    """(doc, start) of each 100-byte string that also starts earlier; `reps` (doc_id, text) differ in text."""
+def repeated_runs(reps: DataFrame) -> DataFrame:
+    """(doc, start, stop): strings that also start earlier, one by one or as whole chunks.
+
+    `reps` (doc_id, text) differ in text.
+    """
     anchors = materialize(reps.mapInArrow(_anchors, "doc bigint, place bigint, h bigint"))
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     places = anchors.join(often, "h", "left_semi").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"))
     marked = reps.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places")
-    pieces = materialize(marked.mapInArrow(_pieces, "doc bigint, at bigint, data binary").where(F.length("data") >= LENGTH))
+    chunks = materialize(marked.mapInArrow(_chunks, "doc bigint, at bigint, data binary").where(F.length("data") >= LENGTH))
+    key = F.sha2("data", 256)
+    first = chunks.groupBy(key.alias("key")).agg(F.min(F.struct("doc", "at")).alias("f"))
+    copied = chunks.withColumn("key", key).join(first, "key")
+    copied = materialize(copied.withColumn("copy", F.struct("doc", "at") > F.col("f")).drop("f", "key"))
+    copies = copied.where("copy").select("doc", F.col("at").alias("start"), (F.col("at") + F.length("data")).alias("stop"))
+    pieces = copied.where("not copy").drop("copy")
     held = pieces.withColumn("names", F.lit(None).cast("array<bigint>"))
     schema = "doc bigint, at bigint, place bigint, t1 bigint, t2 bigint, t3 bigint"
     for level in range(len(LEVELS)):
@@ -196,7 +225,8 @@ def repeated_starts(reps: DataFrame) -> DataFrame:
     keys = materialize(keys)
     first = keys.groupBy("shift", "a", "b", "c").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     later = keys.join(first.where("n > 1"), ["shift", "a", "b", "c"]).where(F.struct("doc", "start") > F.col("first"))
-    return later.select("doc", "start").distinct()
+    single = later.select("doc", "start").distinct()
+    return single.withColumn("stop", F.col("start") + LENGTH).unionByName(copies)
 
 
 def _top(batches):
@@ -218,14 +248,14 @@ def _top(batches):
 def _removed(batches):
     for batch in batches:
         out = []
-        for text, starts, copy in zip(*(batch.column(c) for c in ("text", "starts", "copy")), strict=True):
+        for text, runs, copy in zip(*(batch.column(c) for c in ("text", "runs", "copy")), strict=True):
             data = _bytes(text)
             gone = np.zeros(len(data) + 1, dtype=np.int64)
             if copy.as_py() and len(data) >= LENGTH:
                 gone[0], gone[-1] = 1, -1
-            for start in starts.as_py() or []:
-                gone[start] += 1
-                gone[start + LENGTH] -= 1
+            for run in runs.as_py() or []:
+                gone[run["start"]] += 1
+                gone[run["stop"]] -= 1
             cover = np.cumsum(gone)[:-1] > 0
             edges = np.diff(np.concatenate([[False], cover]).astype(np.int8)) == 1
             out.append((len(data), int(cover.sum()), int(edges.sum()), hashlib.sha256(data[~cover].tobytes()).hexdigest()))
@@ -248,9 +278,9 @@ def removal_report(docs: DataFrame) -> DataFrame:
     first = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("first")))
     marked = materialize(keyed.join(first, "key").withColumn("copy", F.col("doc_id") > F.col("first")))
     reps = marked.where("not copy").select("doc_id", "text")
-    starts = repeated_starts(reps).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("start").alias("starts"))
-    both = marked.join(starts, (F.col("doc_id") == F.col("_doc")) & ~F.col("copy"), "left")
-    done = both.select("doc_id", "text", "starts", "copy").mapInArrow(
+    runs = repeated_runs(reps).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    both = marked.join(runs, (F.col("doc_id") == F.col("_doc")) & ~F.col("copy"), "left")
+    done = both.select("doc_id", "text", "runs", "copy").mapInArrow(
         _removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
     return done.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
