@@ -5,7 +5,7 @@ rank; triples of names are sorted and named in turn, until names order the first
 cover suffix. A remaining suffix is its first bytes and a cover suffix; any two positions reach the
 cover together after 0, 1 or 2 bytes, so three sorted lists hold every pair that can be equal, and
 neighbours with one 100-byte prefix are repeats. Before that, exact copies are set aside and bytes
-that lie in no repeated string are left out: every 100-byte string holds the least 32-byte gram of
+that lie in no repeated string are left out: every 100-byte string holds the least 72-byte gram of
 its window, and a gram that occurs once repeats nothing. What is left is cut at grams into chunks;
 equal chunks are sorted once, as the earliest of them holds the earliest place of each string.
 """
@@ -22,7 +22,7 @@ from propflow.llm.hashing import mix, prefix_sums, span_hashes
 from propflow.session import materialize
 
 LENGTH = 100
-GRAM = 32
+GRAM = 72
 ANCHORS_PER_CHUNK = 16  # a chunk holds so many least grams on average
 LEVELS = (3, 9, 27)  # bytes that the names of each level cover; their triples cover three times that
 
