@@ -128,10 +128,10 @@ def test_components_equal_brute_force(spark):
     assert found == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_removed_bytes_equal_brute_force(spark):
+def brute_force_removal(texts):
     seen, expected = set(), {}
-    for r in sorted(documents(spark).collect(), key=lambda r: r.doc_id):
-        data = (r.text or "").encode()
+    for doc, text in sorted(texts):
+        data = (text or "").encode()
         gone = bytearray(len(data))
         for k in range(len(data) - 99):
             part = data[k : k + 100]
@@ -140,11 +140,26 @@ def test_removed_bytes_equal_brute_force(spark):
             seen.add(part)
         kept = bytes(c for c, f in zip(data, gone, strict=True) if not f)
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
-        expected[r.doc_id] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        expected[doc] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return expected
+
+
+def test_removed_bytes_equal_brute_force(spark):
+    expected = brute_force_removal((r.doc_id, r.text) for r in documents(spark).collect())
     found = {r.doc_id: tuple(r)[1:] for r in QUERIES["op7_difference_cover"](spark, SF).collect()}
     assert found == expected
 
 
+def test_removal_of_shared_stretches_runs_and_periods(spark):
+    prose = " ".join(f"w{i * i % 9973}" for i in range(2000))
+    middle = prose[1000:7000]
+    texts = [prose, "x" + middle + "y", middle[:3000] + "#" + middle[3001:], middle + middle, "a" * 700, "b" + "a" * 350, "a" * 99]
+    texts += ["".join(chr(48 + i % p) for i in range(900)) for p in (2, 29, 40, 72, 73)] + ["é" * 120, prose[::-1] + middle[:99]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removal_report(frame).collect()}
+    assert found == brute_force_removal(list(enumerate(texts)))
+
+
 def test_shards_move_only_into_the_new_one(spark):
     found = QUERIES["op6_hash_tree"](spark, SF).collect()
     assert {r.grown_shard for r in found if r.grown_shard != r.shard} <= {16}
