@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from propflow.llm.hashing import mix, prefix_sums, span_hashes
+from propflow.operators.ordering import global_rank
 from propflow.session import materialize
 
 LENGTH = 100
@@ -45,7 +46,7 @@ def _bytes(value) -> np.ndarray:
 
 def _anchors(batches):
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
+        ids = batch.column("doc").to_pylist()
         for doc, text in zip(ids, batch.column("text"), strict=True):
             data = _bytes(text)
             if len(data) >= LENGTH:
@@ -74,7 +75,7 @@ def _chunks(batches):
     in exactly one chunk.
     """
     for batch in batches:
-        for doc, text, places in zip(*(batch.column(c) for c in ("doc_id", "text", "places")), strict=True):
+        for doc, text, places in zip(*(batch.column(c) for c in ("doc", "text", "places")), strict=True):
             data, places = _bytes(text), np.sort(np.array(places.as_py(), dtype=np.int64))
             low = np.maximum(places - (LENGTH - GRAM), 0)
             high = np.maximum.accumulate(np.minimum(places + LENGTH, len(data)))
@@ -201,12 +202,12 @@ def _suffixes(batches):
 def repeated_runs(reps: DataFrame) -> DataFrame:
     """(doc, start, stop): strings that also start earlier, one by one or as whole chunks.
 
-    `reps` (doc_id, text) differ in text.
+    `reps` (doc, text) are texts numbered in the order in which they count as earlier.
     """
     anchors = materialize(reps.mapInArrow(_anchors, "doc bigint, place bigint, h bigint"))
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     places = anchors.join(often, "h", "left_semi").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"))
-    marked = reps.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places")
+    marked = reps.join(places, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
     chunks = materialize(marked.mapInArrow(_chunks, "doc bigint, at bigint, data binary").where(F.length("data") >= LENGTH))
     key = F.sha2("data", 256)
     first = chunks.groupBy(key.alias("key")).agg(F.min(F.struct("doc", "at")).alias("f"))
@@ -271,16 +272,18 @@ def removal_report(docs: DataFrame) -> DataFrame:
 
     Null texts are empty. Of equal texts the one with the smallest id goes on, the others are
     removed whole if they hold a string of that length at all. Null ids count as the smallest; rows
-    equal in id and text count as one document.
+    equal in id and text count as one document. Texts are told apart by their rank in the order of
+    (id, text hash), so rows that share an id or have none stay apart.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumn("key", F.sha2(F.encode("text", "UTF-8"), 256))
-    first = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("first")))
-    marked = materialize(keyed.join(first, "key").withColumn("copy", F.col("doc_id") > F.col("first")))
-    reps = marked.where("not copy").select("doc_id", "text")
+    keyed = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    first = keyed.groupBy("key").agg(F.min("id").alias("first"))
+    first = materialize(global_rank(first, "first", "key", out="doc").withColumn("doc", F.col("doc").cast("long")))
+    marked = materialize(keyed.join(first, "key").withColumn("copy", F.col("id") > F.col("first")).drop("key", "id", "first"))
+    reps = marked.where("not copy").select("doc", "text")
     runs = repeated_runs(reps).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    both = marked.join(runs, (F.col("doc_id") == F.col("_doc")) & ~F.col("copy"), "left")
-    done = both.select("doc_id", "text", "runs", "copy").mapInArrow(
+    both = marked.join(runs, (F.col("doc") == F.col("_doc")) & ~F.col("copy"), "left")
+    return both.select("doc_id", "text", "runs", "copy").mapInArrow(
         _removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))

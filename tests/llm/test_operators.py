@@ -160,6 +160,16 @@ def test_removal_of_shared_stretches_runs_and_periods(spark):
     assert found == brute_force_removal(list(enumerate(texts)))
 
 
+def test_removal_of_texts_that_share_an_id_or_have_none(spark):
+    long = " ".join(f"w{i * i % 9973}" for i in range(900))
+    pairs = [(None, long), (None, long[2000:2400] + "#" + long[100:300]), (7, long[3000:3900] * 2), (7, "x" * 150), (3, long[:500] + "y"), (-(1 << 63), "z" * 400)]
+    ranked = sorted(pairs, key=lambda p: (-(1 << 63) if p[0] is None else p[0], hashlib.sha256(p[1].encode()).hexdigest()))
+    by_rank = brute_force_removal((i, t) for i, (_, t) in enumerate(ranked))
+    expected = sorted((str(d), *by_rank[i]) for i, (d, _) in enumerate(ranked))
+    found = suffix_dedup.removal_report(spark.createDataFrame(pairs, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in found) == expected
+
+
 def test_shards_move_only_into_the_new_one(spark):
     found = QUERIES["op6_hash_tree"](spark, SF).collect()
     assert {r.grown_shard for r in found if r.grown_shard != r.shard} <= {16}
