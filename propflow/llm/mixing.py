@@ -19,6 +19,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 NEWTON_STEPS = 40
 HASH_GROUPS = 4096
+BLOCK_BITS = 14  # of the rows that are numbered together
 
 
 def word_count(text: Column) -> Column:
@@ -72,10 +73,10 @@ def tilt(target: Column, size: Column, steps: int = NEWTON_STEPS) -> Column:
     return F.when((size > 0) & (target > 0), solved)
 
 
-def mixed_copies(docs: DataFrame, keys: list[Column], **options) -> DataFrame:
-    """(key columns `_k0`.., source, size, source_size, target, copies) for every document row.
+def _shares(docs: DataFrame, keys: list[Column], **options) -> DataFrame:
+    """(`_k0`.., source, size, source_size, target, _m, _whole, _more) for each set of equal rows.
 
-    All documents of a source share a rate; each gets its whole part as copies, and documents in
+    Each of the `_m` rows gets `_whole` copies and `_more` of them one copy more. All documents of a source share a rate; each gets its whole part as copies, and documents in
     hash order get one copy more until the source's remaining words are spent, so a source misses
     its target by at most half of its largest document. Running sums stay inside hash groups of a
     source, offsets come from the groups' totals, and equal rows are one row with a multiplicity.
@@ -115,10 +116,16 @@ def mixed_copies(docs: DataFrame, keys: list[Column], **options) -> DataFrame:
     room = F.col("_extra") - F.col("_start") - F.col("_before")
     fits = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5).cast("long")).otherwise(F.lit(0))
     more = F.greatest(F.lit(0).cast("long"), F.least(F.col("_m"), fits))
-    joined = placed.join(starts, same).withColumn("_more", more)
+    return placed.join(starts, same).withColumn("_more", more).select(
+        *names, "source", "size", "source_size", "target", "_m", "_whole", "_more"
+    )
+
+
+def mixed_copies(docs: DataFrame, keys: list[Column], **options) -> DataFrame:
+    """(key columns `_k0`.., source, size, source_size, target, copies) for every document row."""
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("_copy")
-    return joined.select("*", each).select(
-        *names,
+    return _shares(docs, keys, **options).select("*", each).select(
+        *(f"_k{i}" for i in range(len(keys))),
         "source",
         "size",
         "source_size",
@@ -148,14 +155,47 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: each row as often as it has copies, all columns kept.
 
-    Rows that name the same document with the same text share the most copies any of them got.
-    Documents without words take none and stay once: they weigh nothing in any target.
+    Of rows equal in source, id and text as many get the extra copy as `mix_report` counts. Where
+    only some do, rows are numbered inside blocks of at most 2 ** BLOCK_BITS, and blocks that come
+    first take the extra copies. Documents without words take none and stay once: they weigh nothing
+    in any target.
     """
     crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0))
-    taken = mixed_copies(docs, [F.col("doc_id"), crc], **options)
-    taken = taken.groupBy(F.col("_k0").alias("_mix_id"), F.col("_k1").alias("_mix_crc")).agg(
-        F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).cast("int").alias("_mix_n")
+    shares = _shares(docs, [F.col("doc_id"), crc], **options).select(
+        F.col("_k0").alias("_mix_id"),
+        F.col("_k1").alias("_mix_crc"),
+        F.col("source").alias("_mix_source"),
+        F.col("size").alias("_mix_size"),
+        F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_whole")).cast("int").alias("_mix_n"),
+        F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_more")).cast("long").alias("_mix_more"),
+        F.col("_m").alias("_mix_m"),
+    )
+    shares = materialize(shares)
+    split = (F.col("_mix_more") > 0) & (F.col("_mix_more") < F.col("_mix_m"))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_mix_id"))
+        & (crc == F.col("_mix_crc"))
+        & F.col("source").eqNullSafe(F.col("_mix_source"))
+        & (word_count(F.col("text")) == F.col("_mix_size"))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (crc == F.col("_mix_crc"))
-    rows = docs.join(taken.where("_mix_n > 0"), same)
+    alike = shares.where(~split).withColumn("_mix_n", F.col("_mix_n") + (F.col("_mix_more") > 0).cast("int"))
+    rows = docs.join(alike.where("_mix_n > 0"), same).select(*docs.columns, "_mix_n")
+    uneven = shares.where(split)
+    if not uneven.isEmpty():
+        at = F.monotonically_increasing_id()
+        # places and blocks must not change between counting and numbering
+        placed = materialize(docs.withColumn("_mix_at", at).join(uneven, same))
+        placed = placed.withColumn("_mix_block", F.shiftright("_mix_at", BLOCK_BITS))
+        keys = ["_mix_source", "_mix_size", "_mix_id", "_mix_crc"]
+        counts = placed.groupBy(*keys, "_mix_block").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = W.partitionBy(*keys).orderBy("_mix_block").rowsBetween(W.unboundedPreceding, -1)
+        ahead = counts.select(
+            *(F.col(k).alias(f"_of{k}") for k in (*keys, "_mix_block")), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead")
+        )
+        number = F.row_number().over(W.partitionBy(*keys, "_mix_block").orderBy("_mix_at"))
+        own = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in (*keys, "_mix_block")]
+        numbered = placed.withColumn("_mix_number", number).join(ahead, own)
+        more = (F.col("_ahead") + F.col("_mix_number") <= F.col("_mix_more")).cast("int")
+        dealt = numbered.withColumn("_mix_n", F.col("_mix_n") + more).where("_mix_n > 0")
+        rows = rows.unionByName(dealt.select(*docs.columns, "_mix_n"))
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy")).drop("_mix_copy")

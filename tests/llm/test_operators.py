@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from propflow.llm import (
     decontaminate,
@@ -203,6 +204,22 @@ def test_mix_comes_near_its_targets(spark):
     assert found == QUERIES["op9_entropy_balance"](spark, SF).collect()
 
 
+def test_mix_gives_repeated_rows_what_the_report_counts(spark):
+    data = [(1, "a b c d", "s0", i) for i in range(400)] + [(2, "e f", "s0", 0), (1, "a b c d", "s1", 0), (None, "g h i", None, 0), (5, "", "s1", 0)]
+    data += [(100 + i, "p q r s t u", "s1", 0) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string, other int").repartition(3)
+    options = {"weights": (1.0, 4.0)}
+    report = {(r.doc_id, r.size): r.n for r in mixing.mix_report(docs, **options).where("size > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("n")).collect()}
+    mixed = [r for r in mixing.mix(docs, **options).collect() if r.text]
+    found = defaultdict(int)
+    for r in mixed:
+        found[r.doc_id, len(r.text.split())] += 1
+    assert found == {k: n for k, n in report.items() if n}
+    target = {r.source_size: r.target for r in mixing.mix_report(docs, **options).collect()}[1602]
+    assert 0 < target < 1602
+    assert abs(sum(len(r.text.split()) for r in mixed if r.source == "s0") - target) <= 4
+
+
 def test_surrogates_are_typed_distinct_and_coreferent(spark):
     texts = [f"Mail ana{i}@host.org from 10.0.0.{i}, card 4111 1111 1111 11{i:02d}." for i in range(40)]
     texts += ["Mrs. Anna Miller wrote. Later MILLER and Mrs. Miller met Anna Miller.", "Иван Петров и Анна Петрова"]
