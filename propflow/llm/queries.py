@@ -50,7 +50,7 @@ def op9_entropy_balance(spark, sf):
 
 def op10_weak_supervision(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    return toxicity.toxicity_report(_documents(spark, sf, "doc_id", "text"), labels)
+    return toxicity.toxicity_report(_documents(spark, sf, "doc_id", "text", "lang"), labels)
 
 
 QUERIES = {

@@ -5,18 +5,21 @@ Learning sees a bounded sample of labelled rows; scoring is one column expressio
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from propflow.session import materialize
 
 TRAIN_ROWS = 8_000  # labelled rows that are learned from, by smallest hash of the id
+FLOOR_SHARE = 8  # one in so many of them is kept for an even share of each class and language
 ENTRIES = 256  # stems in the learned lexicon
 CANDIDATES = 4_000  # best stems looked at when the lexicon is drawn up
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 LEXICON_VOTERS = 12
-EVIDENCE = 12.0  # log likelihood ratio that a stem needs: above the log of how many stems are tried
 WORD = r"\p{L}{3,}"
 
 
@@ -26,12 +29,27 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of at most `most` labelled rows outside the held-out fold."""
+    """(text, toxic) of at most `most` labelled ids outside the held-out fold, equal texts of an id once.
+
+    Where more are labelled, each class of each language first gets an even part of a share of the
+    places; the others go by hash, so the classes keep their proportions but for small groups.
+    """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 0)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    if "lang" in docs.columns and marked.limit(most + 1).count() > most:
+        langs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+        marked = materialize(marked.join(langs, "doc_id"))
+        groups = marked.select("toxic", "lang").distinct().count()
+        floor = max(1, most // (FLOOR_SHARE * groups))
+        place = F.row_number().over(W.partitionBy("toxic", "lang").orderBy(*order))
+        few = marked.withColumn("_place", place).where(F.col("_place") <= floor).select("doc_id", F.lit(0).alias("turn"))
+        marked = marked.join(few, "doc_id", "left")
+        order = [F.coalesce("turn", F.lit(1)), *order]
+    chosen = marked.orderBy(*order).limit(most).select("doc_id", "toxic")
     # `most` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.dropDuplicates(["doc_id", "text"]).select("text", "toxic")
 
 
 def stem_counts(rows: DataFrame) -> DataFrame:
@@ -44,6 +62,33 @@ def stem_counts(rows: DataFrame) -> DataFrame:
     )
 
 
+def chance_evidence(pos: int, n: int, all_pos: int, rows: int) -> float:
+    """Minus the log of the chance that at least `pos` of `n` texts drawn from all are toxic."""
+
+    def log_choose(a: int, b: int) -> float:
+        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+
+    ways = [log_choose(all_pos, k) + log_choose(rows - all_pos, n - k) for k in range(max(pos, n - rows + all_pos), min(n, all_pos) + 1)]
+    top = max(ways)
+    return max(0.0, log_choose(rows, n) - top - math.log(sum(math.exp(w - top) for w in ways)))
+
+
+def evidence_bound(sizes: list[tuple[int, int]], all_pos: int, rows: int) -> float:
+    """The evidence beyond which less than one stem is expected by chance, from (texts, stems) counts.
+
+    A stem in few texts cannot reach it whatever its texts are, so only stems that could count as
+    tried (Tarone): the bound falls with the number of stems and of toxic texts.
+    """
+    reach = sorted(((chance_evidence(min(n, all_pos), n, all_pos, rows), stems) for n, stems in sizes), reverse=True)
+    tried = 0
+    for evidence, stems in reach:
+        if evidence < math.log(max(tried + stems, 1)):
+            # this size is out: the bound lies above what it can reach
+            return max(math.log(max(tried, 1)), math.nextafter(evidence, math.inf))
+        tried += stems
+    return math.log(max(tried, 1))
+
+
 def learn_lexicon(rows: DataFrame, most: int = ENTRIES) -> list[str]:
     """Word beginnings that mark toxic texts, strongest first."""
     sizes = rows.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
@@ -51,11 +96,18 @@ def learn_lexicon(rows: DataFrame, most: int = ENTRIES) -> list[str]:
         return []
     share = (F.col("pos") + 0.5) / (sizes.pos + 1.0)
     lift = share / ((F.col("neg") + 0.5) / (sizes.neg + 1.0))
-    base, n = sizes.pos / (sizes.pos + sizes.neg), F.col("pos") + F.col("neg")
-    against = F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / n / (1 - base))).otherwise(0.0)
-    evidence = F.col("pos") * F.log(F.col("pos") / n / base) + against
-    counts = stem_counts(rows).where("pos > 0").withColumns({"lift": lift, "evidence": evidence})
-    best = counts.where((F.col("lift") >= 3) & (F.col("evidence") >= EVIDENCE))
+    counts = materialize(stem_counts(rows).withColumn("lift", lift))
+    n = (F.col("pos") + F.col("neg")).alias("n")
+    total = sizes.pos + sizes.neg
+    # one row for each number of texts, then for each pair of numbers: bounded by the sample
+    bound = evidence_bound([tuple(r) for r in counts.groupBy(n).count().collect()], sizes.pos, total)
+    pairs = counts.where("pos > 0 and lift >= 3").select("pos", "neg").distinct().collect()
+    judged = [(r.pos, r.neg, chance_evidence(r.pos, r.pos + r.neg, sizes.pos, total)) for r in pairs]
+    passed = [row for row in judged if row[2] >= bound]
+    if not passed:
+        return []
+    table = rows.sparkSession.createDataFrame(passed, "pos bigint, neg bigint, evidence double")
+    best = counts.where("lift >= 3").join(F.broadcast(table), ["pos", "neg"])
     best = best.orderBy(F.desc("evidence"), "stem").limit(CANDIDATES)
     found = {r.stem: r for r in best.collect()}
     kept = []
@@ -143,7 +195,8 @@ def fit_label_model(vote: np.ndarray, start: np.ndarray, rounds: int = 25) -> tu
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         correlations = (rest.T @ rest) / n / np.outer(spread, spread)
         np.fill_diagonal(correlations, 0.0)
-        weights = 1.0 / (1.0 + np.clip(correlations, 0, None).sum(axis=1))
+        # what few rows show by chance, within three standard errors, discounts no voter
+        weights = 1.0 / (1.0 + np.where(correlations > 3.0 / np.sqrt(n), correlations, 0.0).sum(axis=1))
         odds = np.einsum("njv,jv->nj", kinds, np.log(chances[:, 1]) - np.log(chances[:, 0]))
         q = 1.0 / (1.0 + np.exp(-np.clip(odds @ weights + np.log(share / (1 - share)), -30, 30)))
     return LabelModel(share, chances, weights, correlations), q

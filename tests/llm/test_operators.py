@@ -256,6 +256,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(t == p for t, p in held) >= 0.93 * len(held)
 
 
+def test_toxicity_learns_from_ten_toxic_rows(spark):
+    found = {r.doc_id: r for r in QUERIES["op10_weak_supervision"](spark, SF).collect()}
+    marks = [(r.toxic, found[r.doc_id].predicted) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    assert sum(p for t, p in marks if t == 1) >= 4
+    assert sum(p for t, p in marks if t == 0) <= 0.05 * len(marks)
+    kept = toxicity.drop_toxic(documents(spark), spark.read.parquet(f"{SF}/labels.parquet")).count()
+    assert kept < len(found)
+
+
+def test_training_rows_keep_a_language_with_few_labels(spark):
+    data = [(i, f"t{i}", "xx" if i >= 1990 else "en") for i in range(2000)] + [(1995, "t1995", "xx")] * 50
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0 or i == 1999)) for i in range(2000)], "doc_id bigint, toxic int")
+    learned = {i for i, f in spark.range(2000).select("id", toxicity.fold(F.col("id"))).collect() if f}
+    texts = [r.text for r in toxicity.training_rows(docs, labels, most=400).collect()]
+    assert len(texts) == len(set(texts)) == 400
+    assert {f"t{i}" for i in learned if i >= 1990} <= set(texts)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
