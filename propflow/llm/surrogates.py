@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -31,6 +32,7 @@ GIVEN = {
 TITLES = {
     "f": "Mrs Ms Miss Mme Frau Señora Sra Madame".split(),
     "m": "Mr Herr Señor Sr Monsieur".split(),
+    "n": "Dr Prof".split(),
 }
 SYLLABLES = {
     "latin": "ba ren del mor ti lan so ver ka nis ro ham el dor fi gan".split(),
@@ -46,16 +48,24 @@ _FIRST = "|".join(sorted(_GENDER, key=len, reverse=True))
 _KINDS = (
     r"(?P<email>[A-Za-z0-9][\w.+-]*@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z])|AKIA[0-9A-Z]{16})"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]))"
+    r"|(?P<secret>-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[^-]*-----END [A-Z0-9 ]*PRIVATE KEY-----"
+    r"|(?<!\w)eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*(?![\w-])"
+    r"|(?<!\w)(?:gh[pousr]_[0-9A-Za-z]{20,}|github_pat_\w{20,}|sk-[\w-]{20,}|xox[abeoprs]-[0-9A-Za-z-]{10,})(?![\w-])"
+    r"|(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z])|AKIA[0-9A-Z]{16})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
     r"|(?P<card>(?<!\d)(?:\d{4}[ -]?){3}\d{1,7}(?!\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)"
+    r"|(?<![\w.+-])\d{3}(?P<gap>[ .-])\d{3}(?P=gap)\d{4}(?![\w-])"
+    r"|(?<![\w.+-])(?=(?:[ /.-]?\d){9,12}(?![\d/]))0\d{1,4}[ /.-]\d{3,8}(?:[ .-]\d{2,4}){0,3}(?![\w-]))"
 )
-_QUICK = re.compile(rf"[@\d]|AKIA|\b(?:{_TITLE}|{_FIRST})\b")
+_CARD = re.compile(r"(?<![\w+])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)(?!\w)")
+_PREFIX = re.compile(r"gh[pousr]_|github_pat_|sk-|xox[abeoprs]-|eyJ|-----[^-]+-----")
+_QUICK = re.compile(rf"[@\d]|AKIA|-----BEGIN |eyJ|gh[pousr]_|github_pat_|sk-|xox[abeoprs]-|\b(?:{_TITLE}|{_FIRST})\b")
 PATTERN = re.compile(
     _KINDS
-    + rf"|(?P<person>\b(?:(?P<title>{_TITLE})\.? (?:(?P<given>{_FIRST}) )?(?P<last>{_CAP})|(?P<given2>{_FIRST}) (?P<last2>{_CAP}))\b)"
+    + rf"|(?P<person>\b(?:(?P<title>{_TITLE})\.?(?: (?:{_TITLE})\b\.?)* (?:(?P<given>{_FIRST}) )?(?P<last>(?!(?:{_TITLE})\b){_CAP})|(?P<given2>{_FIRST}) (?P<last2>{_CAP}))\b)"
 )
 
 
@@ -78,11 +88,27 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((*m.span(given), f"given_{gender}_{script}", m.group(given)))
             found.append((*m.span(last), f"last_{script_of(m.group(last))}", m.group(last)))
             continue
-        kind = next(k for k in ("email", "ip", "secret", "iban", "ssn", "card", "phone") if m.group(k))
-        found.append((*m.span(), kind, m.group()))
+        kind = next(k for k in ("email", "ip", "ipv6", "secret", "iban", "ssn", "card", "phone") if m.group(k))
+        if kind == "ipv6" and not _is_ipv6(m.group()):
+            continue
+        found.append((*m.span(), "ip" if kind == "ipv6" else kind, m.group()))
+    # cards in any grouping: what holds one whole stays, what only touches one gives way
+    for m in _CARD.finditer(text):
+        if _luhn(re.sub("[ -]", "", m.group())[:-1]) == int(m.group()[-1]):
+            start, end = m.span()
+            touching = [f for f in found if f[0] < end and f[1] > start]
+            if not any(f[0] <= start and f[1] >= end for f in touching):
+                found = sorted([f for f in found if f not in touching] + [(start, end, "card", m.group())])
     return found
 
 
+def _is_ipv6(value: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(value) is not None
+    except ValueError:
+        return False
+
+
 class _Draw:
     """A stream of numbers from the key, the entity and the attempt."""
 
@@ -107,6 +133,8 @@ def _luhn(digits: str) -> int:
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The replacement of a canonical value, in canonical form."""
     draw = _Draw(key, kind, value, attempt)
+    if kind == "ip" and ":" in value:
+        return "".join(c if c == ":" else "123456789abcdef"[draw.below(15)] for c in value)
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in value.split("."))
     if kind.startswith(("given", "last")):
@@ -122,11 +150,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return "".join(
             chr(97 + draw.below(26)) if c.isalpha() else str(draw.below(10)) if c.isdigit() else c for c in local
         ) + "@" + "".join(chr(97 + draw.below(26)) for _ in range(8)) + ".example." + domain.rsplit(".", 1)[-1]
-    keep = {"iban": 4, "phone": 2, "card": 1}.get(kind, 0)
+    keep, tail = {"iban": 4, "phone": 2, "card": 1}.get(kind, 0), len(value)
+    if kind == "secret" and (prefix := _PREFIX.match(value)):
+        keep = prefix.end()
+        tail = value.index("-----END") if value.startswith("-----") else tail
     hexes = "0123456789abcdef"
     out = []
     for i, c in enumerate(value):
-        if i < keep or not c.isalnum():
+        if i < keep or i >= tail or not c.isalnum():
             out.append(c)
         elif kind == "secret" and c.lower() in hexes and not value.startswith("AKIA"):
             x = hexes[draw.below(16)]
@@ -135,6 +166,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
             out.append(str(draw.below(10)))
         else:
             out.append(chr((65 if c.isupper() else 97) + draw.below(26)))
+    if kind == "phone" and not value.startswith(("+", "(", "0")):
+        out[0] = str(2 + draw.below(8))
     if kind == "card" and _luhn(value[:-1]) == int(value[-1]):
         out[-1] = str(_luhn("".join(out[:-1])))
     return "".join(out)
@@ -142,10 +175,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 def in_format(value: str, replacement: str) -> str:
     """A canonical replacement with the separators and the letter case of the text."""
-    if len(value) > len(replacement) == len(re.sub(r"[ .-]", "", value)) and not re.search(r"[ .-]", replacement):
+    if len(value) > len(replacement) == len(re.sub(r"[ ./-]", "", value)) and not re.search(r"[ ./-]", replacement):
         rest = iter(replacement)
         if not any(c.isalpha() for c in replacement) or any(c in " -" for c in value):
-            return "".join(c if c in " .-" else next(rest) for c in value)
+            return "".join(c if c in " ./-" else next(rest) for c in value)
     if value.isupper():
         return replacement.upper()
     return replacement[:1].upper() + replacement[1:] if value[:1].isupper() and value[1:].islower() else replacement
@@ -212,7 +245,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     # spellings of one entity: case in names and addresses, separators in numbers
     low = (F.col("kind") == "email") | F.col("kind").rlike("^(given|last)")
     numbers = F.col("kind").isin("card", "phone", "iban", "ssn")
-    canon = F.when(low, F.lower("value")).when(numbers, F.regexp_replace("value", "[ .-]", "")).otherwise(F.col("value"))
+    canon = F.when(low, F.lower("value")).when(numbers, F.regexp_replace("value", "[ ./-]", "")).otherwise(F.col("value"))
     spans = spans.withColumn("canon", canon)
     fakes = assign(materialize(spans.select("kind", "canon").distinct()), key)
     joined = spans.join(fakes, ["kind", "canon"]).select("row", "start", "end", "value", "fake")
