@@ -18,27 +18,34 @@ from propflow.fixed_values import (
 )
 from propflow.operators import context, evaluate, exemplars
 from propflow.operators.ordering import OrderStatistics
-from propflow.plans.estimates import annotation_context
+from propflow.plans.estimates import annotation_context, annotation_parts
 
 KEYWORDS = ["the ", "src1.", "en ", "der|die", "les"]
 PART_ROWS = 25
+UNLABELLED = "unlabelled"
 
 
-def _annotation_rows(spark, sf):
-    """Labelled documents as lookup rows of four entities."""
+def _annotation_rows(spark, sf, how="inner"):
+    """Labelled documents as lookup rows of four entities; a left join keeps the others as one more."""
     labels = table(spark, sf, "labels", "doc_id", "quality", "toxic").select(
         "doc_id", F.concat(F.lit("Q"), "quality", F.lit("T"), "toxic").alias("dsstox")
     )
     documents = table(spark, sf, "documents", "doc_id", "text", "lang", "source").select(
         "doc_id", F.concat_ws(" ", "lang", "source").alias("heading"), F.col("text").alias("value")
     )
-    return documents.join(labels, "doc_id")
+    rows = documents.join(labels, "doc_id", how)
+    return rows.withColumn("dsstox", F.coalesce("dsstox", F.lit(UNLABELLED))) if how == "left" else rows
 
 
 def prompt_context(spark, sf):
     return annotation_context(_annotation_rows(spark, sf), "dsstox", ["doc_id"], KEYWORDS)
 
 
+def prompt_context_whole(spark, sf):
+    """All documents, labelled or not, and all of their text in ordered parts."""
+    return annotation_parts(_annotation_rows(spark, sf, "left"), "dsstox", ["doc_id"], KEYWORDS)
+
+
 def _digest(spark, sf):
     documents = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
     return context.entity_digest(documents, "source", "lang", "text", "doc_id", PART_ROWS)
@@ -107,6 +114,7 @@ def prompt_full(spark, sf):
 
 QUERIES = {
     "prompt_context": prompt_context,
+    "prompt_context_whole": prompt_context_whole,
     "entity_digest": _digest,
     "digest_prompt": digest_prompt,
     "quantile_edges": quantile_edges,
@@ -147,6 +155,18 @@ ctx AS (
     THEN substring(body, 1, {CONTEXT_CAP}) || '{CONTEXT_SUFFIX}' ELSE body END AS details
   FROM kept)
 """
+WHOLE_SQL = f"""
+rows AS (
+  SELECT coalesce('Q' || quality || 'T' || toxic, '{UNLABELLED}') AS dsstox, doc_id,
+    concat(lang, ' ', source) AS heading, text AS value
+  FROM documents LEFT JOIN labels USING (doc_id)),
+kept AS (
+  SELECT dsstox, string_agg(heading || ': ' || value, chr(10) ORDER BY doc_id) AS body FROM rows
+  WHERE regexp_matches(heading, '{"|".join(KEYWORDS)}', 'i') AND regexp_matches(value, '{"|".join(KEYWORDS)}', 'i')
+  GROUP BY dsstox),
+cuts AS (
+  SELECT *, unnest(range(0, greatest(1, (length(body) + {CONTEXT_CAP} - 1) // {CONTEXT_CAP}))) AS p FROM kept)
+"""
 
 DIGEST_SQL = f"""
 heads AS (SELECT source, lang AS text, 'headings' AS section, min(doc_id) AS ord FROM documents GROUP BY 1, 2),
@@ -203,6 +223,10 @@ full_prompts AS (
 
 ORACLE = {
     "prompt_context": f"WITH {CONTEXT_SQL} SELECT dsstox, details FROM ctx",
+    "prompt_context_whole": f"""
+WITH {WHOLE_SQL}
+SELECT dsstox, CAST(p AS INTEGER) AS part, substring(body, p * {CONTEXT_CAP} + 1, {CONTEXT_CAP}) AS text FROM cuts
+""",
     "entity_digest": f"WITH {DIGEST_SQL} SELECT source, section, part, text FROM digest",
     "digest_prompt": f"""
 WITH {DIGEST_SQL}, ids AS (SELECT DISTINCT source FROM documents)

@@ -15,7 +15,7 @@ from propflow.fixed_values import (
     SUMMARY_PROMPT,
 )
 from propflow.functions.numbers import fixed4, mg_per_m3, ppm
-from propflow.operators.ordering import rank_in_group
+from propflow.operators.ordering import range_sorted, rank_in_group
 from propflow.session import materialize
 
 
@@ -61,6 +61,41 @@ def capped_context(
     return joined.select(entity, cut.alias("details"))
 
 
+def context_parts(
+    rows: DataFrame, entity: str, line: Column, order: list[str], part_chars: int = CONTEXT_CAP, sep: str = "\n"
+) -> DataFrame:
+    """(entity, part, text): the lines in order, joined, whole, in parts of `part_chars` characters.
+
+    The parts of an entity set side by side are its text. A hot entity spreads over range
+    partitions; only its character count per partition meets in one place, and no task holds more
+    than a part at a time.
+    """
+    lines = rows.select(F.col(entity).alias("_entity"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), line.alias("_line"))
+    sorted_lines = range_sorted(lines.where("_line is not null"), "_entity", *(f"_o{i}" for i in range(len(order))), "_line")
+    width = F.length("_line") + len(sep)
+    pieces = sorted_lines.groupBy("_part", "_entity").agg(F.sum(width).alias("_chars"))
+    earlier = W.partitionBy("_entity").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = pieces.select(
+        F.col("_part").alias("_at"), F.col("_entity").alias("_of"), F.coalesce(F.sum("_chars").over(earlier), F.lit(0)).alias("_ahead")
+    )
+    before = W.partitionBy("_part", "_entity").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    local = sorted_lines.withColumn("_before", F.coalesce(F.sum(width).over(before), F.lit(0)))
+    placed = local.join(ahead, (F.col("_part") == F.col("_at")) & F.col("_entity").eqNullSafe(F.col("_of")))
+    start = F.col("_ahead") + F.col("_before")
+    # every line but an entity's first brings its separator along
+    text = F.when(start == 0, F.col("_line")).otherwise(F.concat(F.lit(sep), F.col("_line")))
+    placed = placed.select("_entity", text.alias("_text"), F.greatest(start - len(sep), F.lit(0)).alias("_start"))
+    last = F.greatest(F.col("_start") + F.length("_text") - 1, F.col("_start"))
+    parts = F.sequence(F.floor(F.col("_start") / part_chars), F.floor(last / part_chars))
+    cut = placed.select("*", F.explode(parts).alias("part"))
+    low = F.greatest(F.col("part") * part_chars - F.col("_start"), F.lit(0))
+    high = (F.col("part") + 1) * part_chars - F.col("_start")
+    piece = F.substring(F.col("_text"), (low + 1).cast("int"), (high - low).cast("int"))
+    cut = cut.select("_entity", F.col("part").cast("int").alias("part"), "_start", piece.alias("_piece"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("_start", "_piece"))), lambda r: r["_piece"])
+    return cut.groupBy("_entity", "part").agg(F.array_join(joined, "").alias("text")).select(F.col("_entity").alias(entity), "part", "text")
+
+
 def attach_context(entities: DataFrame, context: DataFrame, entity: str) -> DataFrame:
     """Every entity with its details; '' where it has none."""
     return entities.join(context, entity, "left").withColumn("details", F.coalesce("details", F.lit("")))

@@ -35,10 +35,25 @@ def annotation_context(
     mode: str = "regex",
     cap: int = CONTEXT_CAP,
 ) -> DataFrame:
-    """(entity, details) of the rows whose heading and value both hold a keyword."""
+    """(entity, details) of the rows whose heading and value both hold a keyword, cut at `cap`."""
+    return context.capped_context(*_keyword_lines(rows, entity, keywords, mode), order, cap)
+
+
+def annotation_parts(
+    rows: DataFrame,
+    entity: str,
+    order: list[str],
+    keywords: list[str],
+    mode: str = "regex",
+    part_chars: int = CONTEXT_CAP,
+) -> DataFrame:
+    """(entity, part, text): the same lines whole, in ordered parts of `part_chars` characters."""
+    return context.context_parts(*_keyword_lines(rows, entity, keywords, mode), order, part_chars)
+
+
+def _keyword_lines(rows: DataFrame, entity: str, keywords: list[str], mode: str):
     kept = rows.where(matches_in_all([F.col("heading"), F.col("value")], keywords, mode))
-    line = F.concat(F.col("heading"), F.lit(": "), F.col("value"))
-    return context.capped_context(kept, entity, line, order, cap)
+    return kept, entity, F.concat(F.col("heading"), F.lit(": "), F.col("value"))
 
 
 def estimate_entities(

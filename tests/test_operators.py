@@ -107,6 +107,14 @@ def brute_context(data, cap, suffix="..."):
     return out
 
 
+def test_context_parts_hold_the_whole_text(spark):
+    texts = [("hot", i, "é" * (i * 37 % 90)) for i in range(400)] + [("one", 0, "x" * 1000), ("none", 0, None), (None, 3, "a"), (None, 4, ""), ("empty", 1, "")]
+    df = spark.createDataFrame(texts, "e string, o int, t string").repartition(7)
+    found = {(r.e, r.part): r.text for r in context.context_parts(df, "e", F.col("t"), ["o"], part_chars=100).collect()}
+    whole = {e: "\n".join(t for x, _, t in texts if x == e and t is not None) for e in ("hot", "one", None, "empty")}
+    assert found == {(e, k): w[k * 100 : k * 100 + 100] for e, w in whole.items() for k in range(max(1, -(-len(w) // 100)))}
+
+
 @pytest.mark.parametrize("cap", [1, 7, 50, 51, 52, 400, 10**6])
 @pytest.mark.parametrize("spread", [1, 5])
 def test_capped_context(spark, cap, spread):
