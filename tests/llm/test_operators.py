@@ -263,6 +263,17 @@ def test_leaks_survive_case_marks_and_few_edits(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 9)]
 
 
+def test_leaks_at_every_start_and_of_short_items(spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i * 7 % 26)}{chr(97 + i * i % 26)}x{i}" for i in range(60)]
+    line = " ".join(words)
+    data = [(at, f"aside {line[at : at + 64]} {'filler ' * 9}") for at in range(0, 200, 7)]
+    data += [(900, line[30:61] + "#" + line[62:100]), (901, "we say Yes, no!"), (902, "yesno yes nor"), (903, line[:50])]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(9, line), (8, "Yes no")], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == {(at, 9) for at in range(0, 200, 7)} | {(900, 9), (901, 8)}
+
+
 def test_trusted_text_is_kept_and_noise_is_not(spark):
     found = {r.doc_id: r.kept for r in QUERIES["op8_kneser_ney"](spark, SF).collect()}
     marks = spark.read.parquet(f"{SF}/labels.parquet").collect()
