@@ -29,7 +29,8 @@ MOST_WORDS = 3
 INSIDE_PERCENT = 50
 TOP = 2000
 SCALE = 1_000_000
-POOL = 4 << 20  # phrases counted at a time in a task
+POOL = 2 << 20  # phrases counted at a time in a task
+BATCH = 1 << 16  # rows handed over at a time
 LEAST_BITS, MOST_BITS = 16, 28  # of a bitmap, as powers of two: at most 32 MB
 UNKNOWN = "und"
 
@@ -132,9 +133,14 @@ def _local(batches, words: int, shorter: Bits | None):
 
     def counted():
         for grp, keys in pool.items():
-            values, counts = np.unique(np.concatenate(keys), return_counts=True)
-            blank = pa.nulls(len(values))
-            yield rows(blank, blank, np.full(len(values), grp).view(np.int64), values.view(np.int64), counts)
+            every = np.concatenate(keys)
+            keys.clear()
+            every.sort()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            values, counts = every[first], np.diff(np.append(first, len(every)))
+            for at in range(0, len(values), BATCH):
+                own = values[at : at + BATCH].view(np.int64)
+                yield rows(pa.nulls(len(own)), pa.nulls(len(own)), np.full(len(own), grp).view(np.int64), own, counts[at : at + BATCH])
 
     for batch in batches:
         for run, by_lang, by_shard, langs, shards in _runs(batch, words):
