@@ -18,7 +18,8 @@ from propflow.fixed_values import (
 )
 from propflow.operators import context, evaluate, exemplars
 from propflow.operators.ordering import OrderStatistics
-from propflow.plans.estimates import annotation_context, annotation_parts
+from propflow.plans.estimates import annotation_context, annotation_parts, whole_prompts
+from propflow.session import scratch_path
 
 KEYWORDS = ["the ", "src1.", "en ", "der|die", "les"]
 PART_ROWS = 25
@@ -112,6 +113,34 @@ def prompt_full(spark, sf):
     return full.select("dsstox", "full_prompt")
 
 
+SHORT = 20_000
+
+
+def shorten(prompt: str) -> str:
+    """Stands for a refining model: the head of the prompt and its size; fails on some sizes."""
+    size = len(prompt)
+    if size % 13 == 0:
+        raise ValueError(f"prompt of {size} characters")
+    return f"{prompt[:SHORT]} ({size})"
+
+
+def whole_entities(spark, sf):
+    """(dsstox, name) of the labelled groups and of the documents without a label."""
+    labels = table(spark, sf, "labels", "quality", "toxic").distinct()
+    ids = labels.select(F.concat(F.lit("Q"), "quality", F.lit("T"), "toxic").alias("dsstox"))
+    ids = ids.unionByName(spark.range(1).select(F.lit(UNLABELLED).alias("dsstox")))
+    return ids.withColumn("name", F.concat(F.lit("compound "), "dsstox"))
+
+
+def prompt_full_whole(spark, sf):
+    """All documents, all of their text, brought down to one part per entity."""
+    prompts = whole_prompts(
+        whole_entities(spark, sf), _annotation_rows(spark, sf, "left"), KEYWORDS, ["doc_id"],
+        exemplar_table(spark, sf), shorten, scratch_path(spark, "memo"), waves=2, digits=1,
+    )
+    return prompts.select("dsstox", "part", "full_prompt")
+
+
 QUERIES = {
     "prompt_context": prompt_context,
     "prompt_context_whole": prompt_context_whole,
@@ -125,6 +154,7 @@ QUERIES = {
     "exemplar_table": exemplar_table,
     "minmax_backtransform": minmax_backtransform,
     "prompt_full": prompt_full,
+    "prompt_full_whole": prompt_full_whole,
 }
 
 
@@ -221,7 +251,49 @@ full_prompts AS (
   FROM ids LEFT JOIN ctx USING (dsstox), ex_table)
 """
 
+_REFINED_SQL = "CASE WHEN length({0}) % 13 <> 0 THEN trim(substring({0}, 1, " + str(SHORT) + ") || ' (' || length({0}) || ')') END"
+_ROUNDS = 6
+
+
+def _reduction_sql() -> str:
+    """Rounds of refining over the parts `r0` (dsstox, p, t, done), the last one in `reduced`."""
+    prompt = _filled(SUMMARY_PROMPT, "concat('compound ', dsstox)", "t")
+    steps = []
+    for i in range(1, _ROUNDS + 1):
+        steps.append(f"""
+c{i} AS (SELECT *, count(*) OVER (PARTITION BY dsstox) AS n FROM r{i - 1}),
+s{i} AS (SELECT dsstox, p, n, t, {prompt} AS prompt FROM c{i} WHERE n > 1 AND NOT done),
+j{i} AS (
+  SELECT dsstox, max(n) AS n, string_agg(coalesce({_REFINED_SQL.format("prompt")}, t), chr(10) ORDER BY p) AS body
+  FROM s{i} GROUP BY dsstox),
+k{i} AS (SELECT *, greatest(1, (length(body) + {CONTEXT_CAP} - 1) // {CONTEXT_CAP}) AS m FROM j{i}),
+u{i} AS (SELECT dsstox, body, unnest(range(0, m)) AS p FROM k{i} WHERE m < n),
+r{i} AS (
+  SELECT dsstox, p, substring(body, p * {CONTEXT_CAP} + 1, {CONTEXT_CAP}) AS t, false AS done FROM u{i}
+  UNION ALL SELECT dsstox, p, t, true FROM c{i}
+  WHERE n = 1 OR done OR dsstox IN (SELECT dsstox FROM k{i} WHERE m >= n))""")
+    return ",".join(steps) + f",\nreduced AS (SELECT * FROM r{_ROUNDS})"
+
+
+PROMPT_WHOLE_SQL = f"""
+{WHOLE_SQL}, {TABLE_SQL},
+r0 AS (
+  SELECT dsstox, p, substring(body, p * {CONTEXT_CAP} + 1, {CONTEXT_CAP}) AS t, false AS done FROM cuts),
+{_reduction_sql()},
+ids AS (
+  SELECT DISTINCT concat('Q', quality, 'T', toxic) AS dsstox FROM labels UNION ALL SELECT '{UNLABELLED}'),
+asked AS (
+  SELECT dsstox, coalesce(p, 0) AS p, {_filled(SUMMARY_PROMPT, "concat('compound ', dsstox)", "coalesce(t, '')")} AS prompt
+  FROM ids LEFT JOIN reduced USING (dsstox)),
+full_prompts AS (
+  SELECT dsstox, CAST(p AS INTEGER) AS part,
+    {_filled(ESTIMATE_PROMPT, "examples_text", "coalesce(" + _REFINED_SQL.format("prompt") + ", prompt)", "concat('compound ', dsstox)")}
+    AS full_prompt
+  FROM asked, ex_table)
+"""
+
 ORACLE = {
+    "prompt_full_whole": f"WITH {PROMPT_WHOLE_SQL} SELECT dsstox, part, full_prompt FROM full_prompts",
     "prompt_context": f"WITH {CONTEXT_SQL} SELECT dsstox, details FROM ctx",
     "prompt_context_whole": f"""
 WITH {WHOLE_SQL}

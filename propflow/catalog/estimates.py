@@ -6,11 +6,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from propflow.catalog.context import KEYWORDS, PROMPT_FULL_SQL, _annotation_rows
+from propflow.catalog.context import KEYWORDS, PROMPT_FULL_SQL, PROMPT_WHOLE_SQL, _annotation_rows, shorten, whole_entities
 from propflow.catalog.standin import measurements, table
 from propflow.functions.responses import memo_key, parse_response
 from propflow.operators import evaluate, inference
-from propflow.plans.estimates import estimate_entities, question_estimates
+from propflow.operators.memo import Memo
+from propflow.plans.estimates import estimate_entities, estimate_whole, question_estimates
 from propflow.session import scratch_path
 
 
@@ -120,6 +121,51 @@ def estimate_table(spark, sf):
     return records.withColumns(figures)
 
 
+def estimate_table_whole(spark, sf):
+    """The same over all documents, labelled or not, and all of their text."""
+
+    def model(prompt: str, endpoint: str) -> str:
+        return json.dumps({"lc50": len(prompt) - len(endpoint), "confidence": len(prompt) % 10})
+
+    records = estimate_whole(
+        whole_entities(spark, sf),
+        _annotation_rows(spark, sf, "left"),
+        measurements(spark, sf),
+        KEYWORDS,
+        ["doc_id"],
+        refine=shorten,
+        model=model,
+        memo_path=scratch_path(spark, "memo"),
+        measured_id="o_orderkey",
+        waves=2,
+        digits=1,
+    )
+    figures = {c: F.round(c, 6) for c in ("pred_lc50_4hr_mg_L", "pred_lc50_4hr_ppm")}
+    return records.withColumns(figures)
+
+
+def infer_waves(spark, sf):
+    """All turns asked in waves over a memo that already holds the opening ones."""
+    path = scratch_path(spark, "memo")
+    Memo(spark, path, digits=1).commit(_memo(spark, sf).distinct().withColumn("error", F.lit(None).cast("string")))
+    answers = inference.ask_in_waves(_requests(spark, sf), ["text"], answer, path, waves=4, digits=1)
+    return answers.select("conv_id", "turn", "result", "error", "memo_hit")
+
+
+def memo_generations(spark, sf):
+    """Two generations, the second repeating keys and failing on some, a compaction, and one more generation."""
+    memo = Memo(spark, scratch_path(spark, "memo"), digits=1)
+    keys = _requests(spark, sf).groupBy("memo_key").agg(F.max(F.length("text")).alias("size"))
+    keys = keys.withColumn("error", F.lit(None).cast("string"))
+    memo.commit(keys.where("size % 2 = 0").withColumn("result", F.concat(F.lit("first "), "size")))
+    second = keys.where("size % 3 = 0")
+    failed = F.when(F.col("size") % 5 == 0, F.concat(F.lit("failed "), "size"))
+    memo.commit(second.withColumns({"error": failed, "result": F.when(failed.isNull(), F.concat(F.lit("second "), "size"))}))
+    memo.compact()
+    memo.commit(keys.where("size % 7 = 0").withColumn("result", F.concat(F.lit("third "), "size")))
+    return memo.latest().select("memo_key", "result", "error", F.col("generation").cast("int").alias("generation"))
+
+
 def question_estimate(spark, sf):
     """Customers asked one plain question each; the answer's size decides the estimate."""
 
@@ -142,6 +188,9 @@ QUERIES = {
     "prediction_record": prediction_record,
     "user_codec_hook": user_codec_hook,
     "estimate_table": estimate_table,
+    "estimate_table_whole": estimate_table_whole,
+    "infer_waves": infer_waves,
+    "memo_generations": memo_generations,
     "question_estimates": question_estimate,
 }
 
@@ -198,11 +247,38 @@ SELECT dsstox, chemical_name,
   CASE WHEN ppm > 0 AND c <> 3 THEN c ELSE 0 END AS confidence_ppm,
   coalesce(mg > 0, false) OR coalesce(ppm > 0, false) AS prediction_available
 FROM e
+""",
+    "infer_waves": f"""
+WITH {REQUESTS_SQL}
+SELECT conv_id, turn, CASE WHEN m.memo_key IS NOT NULL THEN concat('stored for ', length(text)) ELSE result END AS result,
+  CASE WHEN m.memo_key IS NULL AND result IS NULL THEN concat('ValueError: prompt of ', length(text), ' characters') END
+    AS error,
+  m.memo_key IS NOT NULL AS memo_hit
+FROM requests LEFT JOIN memo m USING (memo_key)
+""",
+    "memo_generations": f"""
+WITH {REQUESTS_SQL}, keys AS (SELECT memo_key, max(length(text)) AS n FROM requests GROUP BY memo_key)
+SELECT memo_key,
+  CASE WHEN n % 7 = 0 THEN concat('third ', n) WHEN n % 3 = 0 AND n % 5 <> 0 THEN concat('second ', n)
+    WHEN n % 2 = 0 THEN concat('first ', n) END AS result,
+  CASE WHEN n % 7 <> 0 AND n % 2 <> 0 AND n % 3 = 0 AND n % 5 = 0 THEN concat('failed ', n) END AS error,
+  CASE WHEN n % 7 = 0 THEN 4 ELSE 3 END AS generation
+FROM keys WHERE n % 2 = 0 OR n % 3 = 0 OR n % 7 = 0
 """,
     "user_codec_hook": """
 SELECT p_partkey, p_name, CASE WHEN NOT contains(p_name, 'bolt') THEN reverse(p_name) END AS coded,
   contains(p_name, 'bolt') AS coded_failed
 FROM part
+""",
+    "estimate_table_whole": f"""
+WITH {PROMPT_WHOLE_SQL}, sized AS (SELECT dsstox, part, length(full_prompt) AS n FROM full_prompts),
+best AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY dsstox ORDER BY n % 10 DESC, part) = 1)
+SELECT dsstox, concat('compound ', dsstox) AS chemical_name,
+  round(log10((n - length('milligrams_per_cubic_meter')) / 1000), 6) AS "pred_lc50_4hr_mg_L",
+  round(log10(n - length('parts_per_million')), 6) AS pred_lc50_4hr_ppm,
+  CAST(n % 10 AS DOUBLE) AS "confidence_mgL", CAST(n % 10 AS DOUBLE) AS confidence_ppm,
+  true AS prediction_available, CAST(NULL AS VARCHAR) AS error
+FROM best
 """,
     "estimate_table": f"""
 WITH {PROMPT_FULL_SQL}, sized AS (SELECT dsstox, length(full_prompt) AS n FROM full_prompts)

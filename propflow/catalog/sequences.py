@@ -108,7 +108,7 @@ def training_sequences(spark, sf):
     )
 
 
-def _logits(spark, sf):
+def _scores(spark, sf, **options):
     """Embeddings as logits; two candidate categories of two tokens, one of them padded."""
     label = F.col("label")
     candidates = F.array(
@@ -116,22 +116,17 @@ def _logits(spark, sf):
         F.struct(F.lit("far").alias("category"), F.array(label + 20, F.lit(None).cast("int")).alias("ids")),
     )
     rows = table(spark, sf, "embeddings", "vec_id", "embedding", "label").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("logits"), F.inline(candidates)
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("logits")
     )
-    return rows.select("vec_id", "category", "logits", F.posexplode("ids").alias("pos", "token_id"))
-
-
-def _scores(spark, sf):
-    return scoring.category_scores(_logits(spark, sf), "vec_id", "category", length_normalised=True)
+    return scoring.candidate_scores(rows, "vec_id", candidates, **options)
 
 
 def categorical_logprob(spark, sf):
-    scores = scoring.category_scores(_logits(spark, sf), "vec_id", "category")
-    return scores.select("vec_id", "category", F.round("logprob", 6).alias("logprob"))
+    return _scores(spark, sf).select("vec_id", "category", F.round("logprob", 6).alias("logprob"))
 
 
 def categorical_argmax(spark, sf):
-    best = scoring.best_category(_scores(spark, sf), "vec_id", "category")
+    best = scoring.best_category(_scores(spark, sf, length_normalised=True), "vec_id", "category")
     return best.select("vec_id", "category", F.round("logprob", 6).alias("logprob"))
 
 

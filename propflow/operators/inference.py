@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -11,7 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType
 
 from propflow.functions.responses import parse_response
-from propflow.session import materialize
+from propflow.operators.memo import DIGITS, Memo
+from propflow.session import materialize, scratch_path
+
+
+class Patience(NamedTuple):
+    """How often a failed call is made again, after how many seconds (doubled each time), and how long one may take."""
+
+    retries: int = 0
+    delay: float = 5.0
+    timeout: float | None = None
+
+
+ONE_TRY = Patience()
 
 MEMO_SCHEMA = "memo_key string, result string"
 
@@ -48,6 +63,39 @@ def apply_codec(
     return done.withColumn(f"{out}_failed", given & F.col(out).isNull())
 
 
+def _within(timeout: float, model: Callable[..., str], values: tuple) -> str:
+    """The model's answer; a call that takes longer is left behind in its thread."""
+    outcome: list[tuple[bool, object]] = []
+
+    def run() -> None:
+        try:
+            outcome.append((True, model(*values)))
+        except Exception as error:
+            outcome.append((False, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(timeout)
+    if not outcome:
+        raise TimeoutError(f"no answer within {timeout:g} s")
+    answered, value = outcome[0]
+    if not answered:
+        raise value
+    return value
+
+
+def attempt_call(model: Callable[..., str], values: tuple, patience: Patience) -> tuple[str | None, str | None]:
+    """(answer, None) or, after the last try, (None, error)."""
+    for attempt in range(patience.retries + 1):
+        if attempt:
+            time.sleep(patience.delay * 2 ** (attempt - 1))
+        try:
+            return (_within(patience.timeout, model, values) if patience.timeout else model(*values)), None
+        except Exception as error:
+            last = f"{type(error).__name__}: {error}"
+    return None, last
+
+
 def infer(
     requests: DataFrame,
     key: str,
@@ -55,19 +103,17 @@ def infer(
     model: Callable[..., str],
     in_flight: int = 40,
     tasks: int | None = None,
+    patience: Patience = ONE_TRY,
 ) -> DataFrame:
     """(key, result, error): `model(*arguments)` per row, `in_flight` at a time in each task.
 
-    A failing call keeps its row, with the error in place of the result. `tasks`
+    A failing call keeps its row, with the error of its last try in place of the result. `tasks`
     spreads the requests: small texts that wait long are worth more tasks than
     their bytes suggest.
     """
 
     def call(values: tuple) -> tuple[str | None, str | None]:
-        try:
-            return model(*values), None
-        except Exception as error:
-            return None, f"{type(error).__name__}: {error}"
+        return attempt_call(model, values, patience)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(in_flight) as pool:
@@ -137,6 +183,50 @@ def memoised_infer(
     return merge_memo(requests, memo, fresh)
 
 
+def ask_in_waves(
+    requests: DataFrame,
+    arguments: list[str],
+    model: Callable[..., str],
+    memo_path: str,
+    in_flight: int = 40,
+    tasks: int | None = None,
+    waves: int = 4,
+    patience: Patience = ONE_TRY,
+    digits: int = DIGITS,
+) -> DataFrame:
+    """Answers `requests` (with `memo_key`) from the `Memo` at the path, calling the model once per unknown key.
+
+    The keys are asked in `waves` by prefix; each wave's answers and errors are committed to the memo
+    before the next begins, so a job that is lost asks again only what its last wave asked. Only the
+    asked prefixes of the memo are read; `digits` of a key make one, the same in all runs over a memo. A
+    stored error is asked again by a later run. Turn speculation off for such jobs: a second attempt of a task asks its rows again.
+    """
+    memo = Memo(requests.sparkSession, memo_path, digits)
+    before = max(memo.generations(), default=0)
+    slim = requests.where("memo_key is not null").select("memo_key", *arguments).withColumn("_prefix", memo.prefix())
+    asked = sorted(r._prefix for r in slim.select("_prefix").distinct().collect())  # at most 16 ** digits
+    groups = [asked[i::waves] for i in range(waves) if asked[i::waves]]
+    if len(groups) > 1:  # each wave then reads its own requests only
+        wave = F.element_at(F.create_map(*(F.lit(x) for i, group in enumerate(groups) for p in group for x in (p, i))), F.col("_prefix"))
+        path = scratch_path(requests.sparkSession, "requests")
+        slim.withColumn("_wave", wave).write.partitionBy("_wave").parquet(path)
+        slim = requests.sparkSession.read.schema(f"{_ddl(slim)}, _wave int").parquet(path)
+    for i, prefixes in enumerate(groups):
+        mine = slim.where(F.col("_wave") == i) if len(groups) > 1 else slim
+        known = memo.latest(prefixes).where("error is null")
+        unknown = memo_misses(mine, known, arguments)
+        if unknown.isEmpty():
+            continue
+        unknown = unknown.repartition(*([tasks] if tasks else []), F.substring("memo_key", 1, memo.digits + 1))
+        memo.commit(infer(unknown, "memo_key", arguments, model, in_flight, patience=patience))
+    last = memo.latest(asked).withColumn("memo_hit", F.col("error").isNull() & (F.col("generation") <= before))
+    return requests.join(last.drop("generation"), "memo_key", "left")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def refined_prompt(refined: Column, prompt: Column) -> Column:
     """The trimmed refined prompt, or the original one where refining failed."""
     return F.coalesce(F.trim(refined), prompt)

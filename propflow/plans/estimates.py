@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from propflow.fixed_values import CONTEXT_CAP, NAME_QUESTION
 from propflow.functions.annotation import with_annotation_value
 from propflow.functions.keywords import matches_in_all
 from propflow.functions.numbers import guarded_confidence, guarded_log10
-from propflow.functions.responses import memo_key, parse_short_response
+from propflow.functions.responses import memo_key, parse_response, parse_short_response
 from propflow.operators import context, evaluate, inference
 from propflow.operators.crosswalk import attach_ids, build_crosswalk, unwrap_singletons
 from propflow.operators.exemplars import pick_exemplars
+from propflow.operators.reduction import reduce_parts
 from propflow.session import materialize
 
 ENDPOINTS = ["milligrams_per_cubic_meter", "parts_per_million"]
@@ -88,7 +89,78 @@ def estimate_entities(
     requests = inference.explode_endpoints(materialize(full), ENDPOINTS)
     requests = requests.withColumn("memo_key", memo_key("estimate", version, "endpoint", "full_prompt"))
     answers = inference.memoised_infer(requests, ["full_prompt", "endpoint"], model, f"{memo_path}/estimate")
-    wide = inference.gather_endpoints(answers, ["dsstox", "name"], ENDPOINTS)
+    return _records(inference.gather_endpoints(answers, ["dsstox", "name"], ENDPOINTS))
+
+
+def whole_prompts(
+    entities: DataFrame,
+    rows: DataFrame,
+    keywords: list[str],
+    order: list[str],
+    examples: DataFrame,
+    refine: Callable[[str], str],
+    memo_path: str,
+    version: str = "1",
+    part_chars: int = CONTEXT_CAP,
+    **asking,
+) -> DataFrame:
+    """(dsstox, name, part, full_prompt) of entities (dsstox, name) over all of their context.
+
+    Context longer than a part is brought down to one by rounds of `refine` (see `reduce_parts`); an
+    entity that these cannot shorten has a prompt for each of the parts that remain.
+    """
+    parts = annotation_parts(rows, "dsstox", order, keywords, part_chars=part_chars)
+    short = reduce_parts(
+        parts.join(entities, "dsstox"), "dsstox", "name", refine, f"{memo_path}/reduce", version, part_chars, **asking
+    )
+    details = short.select("dsstox", F.col("part").alias("_part"), F.col("text").alias("details"))
+    whole = context.attach_context(entities, details, "dsstox")
+    asked = context.summary_prompts(whole.withColumn("part", F.coalesce("_part", F.lit(0))).drop("_part"), "name")
+    asked = materialize(asked.withColumn("memo_key", memo_key("refine", version, "prompt")).drop("prompt"))
+    requests = context.summary_prompts(asked, "name")
+    refined = inference.ask_in_waves(requests, ["prompt"], refine, f"{memo_path}/refine", **asking)
+    text = inference.refined_prompt(F.col("result"), F.col("prompt"))
+    return context.estimate_prompts(refined, "name", examples, text).select("dsstox", "name", "part", "full_prompt")
+
+
+def estimate_whole(
+    entities: DataFrame,
+    rows: DataFrame,
+    measured: DataFrame,
+    keywords: list[str],
+    order: list[str],
+    refine: Callable[[str], str],
+    model: Callable[[str, str], str],
+    memo_path: str,
+    version: str = "1",
+    endpoint_columns: tuple[str, str] = ("mg", "ppm"),
+    measured_id: str = "id",
+    measured_name: str = "name",
+    part_chars: int = CONTEXT_CAP,
+    **asking,
+) -> DataFrame:
+    """Prediction records as by `estimate_entities`, from all of each entity's context.
+
+    Requests go in waves, each committed to the memo before the next. Of an entity asked in several
+    parts the most confident answer counts, the earlier part of equal ones.
+    """
+    mg, ppm = endpoint_columns
+    picked = pick_exemplars(measured, mg, measured_id)
+    examples = context.exemplar_table(picked, measured_name, mg, ppm, [mg, measured_id])
+    full = whole_prompts(entities, rows, keywords, order, examples, refine, memo_path, version, part_chars, **asking)
+    requests = inference.explode_endpoints(materialize(full), ENDPOINTS)
+    requests = requests.withColumn("memo_key", memo_key("estimate", version, "endpoint", "full_prompt"))
+    answers = inference.ask_in_waves(requests, ["full_prompt", "endpoint"], model, f"{memo_path}/estimate", **asking)
+    best = W.partitionBy("dsstox", "endpoint").orderBy(
+        F.col("error").isNull().desc(), parse_response(F.col("result"))["confidence"].desc_nulls_last(), "part"
+    )
+    slim = answers.select("dsstox", "name", "endpoint", "part", "result", "error")
+    first = slim.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    wide = inference.gather_endpoints(first, ["dsstox", "name"], ENDPOINTS)
+    return _records(wide)
+
+
+def _records(wide: DataFrame) -> DataFrame:
     first, second = ENDPOINTS
     return evaluate.prediction_records(
         wide, "dsstox", "name", f"lc50_{first}", f"lc50_{second}",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> str:
@@ -49,3 +49,20 @@ def write_sheet(df: DataFrame, path: str, columns: list[str], order: str | None
     rows = df.orderBy(order) if order else df
     rows.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
+
+
+def escaped_breaks(text: Column) -> Column:
+    r"""The text on one line: backslash, line feed and carriage return as `\\`, `\n` and `\r`."""
+    for plain, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
+
+
+def write_split_sheet(df: DataFrame, path: str, columns: list[str], order: str | None = None) -> str:
+    """A sheet without line breaks inside values, which many tasks can read at once; blanks at the ends stay."""
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string" and f.name in columns]
+    lines = df.withColumns({c: escaped_breaks(F.col(c)) for c in texts})
+    rows = lines.orderBy(order) if order else lines
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(*columns).write.mode("overwrite").options(**options).csv(path)
+    return path

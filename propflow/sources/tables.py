@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from propflow.fixed_values import VOCAB_SPECIALS
 
@@ -69,6 +69,23 @@ def read_sheet(spark: SparkSession, path: str, schema: str, line_breaks: bool =
     )
 
 
+def unescaped_breaks(text: Column) -> Column:
+    """The text that `escaped_breaks` put on one line."""
+
+    def plain(piece: Column) -> Column:
+        return F.replace(F.replace(piece, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+
+    # between pairs of backslashes, taken from the left, each backslash left starts a code
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
+
+
+def read_split_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A sheet written by `write_split_sheet`; large files are read by several tasks."""
+    df = read_sheet(spark, path, schema, line_breaks=False)
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    return df.withColumns({c: unescaped_breaks(F.col(c)) for c in texts})
+
+
 def union_parts(*frames: DataFrame) -> DataFrame:
     """Union by name; a column absent from one part is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
