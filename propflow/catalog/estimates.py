@@ -98,6 +98,18 @@ def user_codec_hook(spark, sf):
     return inference.apply_codec(parts, "p_name", codec, "coded", "string")
 
 
+def codec_once(spark, sf):
+    """A Python codec asked once per segment, whatever number of customers is in it."""
+
+    def codec(segment: str) -> str:
+        if segment.startswith("A"):
+            raise ValueError(segment)
+        return segment.lower()
+
+    customers = table(spark, sf, "customer", "c_custkey", "c_mktsegment")
+    return inference.apply_codec_once(customers, "c_mktsegment", codec, "coded", "string")
+
+
 def estimate_table(spark, sf):
     """Four entities asked for two endpoints with context, exemplars and a refined summary."""
 
@@ -187,6 +199,7 @@ QUERIES = {
     "parse_response": responses,
     "prediction_record": prediction_record,
     "user_codec_hook": user_codec_hook,
+    "codec_once": codec_once,
     "estimate_table": estimate_table,
     "estimate_table_whole": estimate_table_whole,
     "infer_waves": infer_waves,
@@ -269,6 +282,11 @@ FROM keys WHERE n % 2 = 0 OR n % 3 = 0 OR n % 7 = 0
 SELECT p_partkey, p_name, CASE WHEN NOT contains(p_name, 'bolt') THEN reverse(p_name) END AS coded,
   contains(p_name, 'bolt') AS coded_failed
 FROM part
+""",
+    "codec_once": """
+SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment NOT LIKE 'A%' THEN lower(c_mktsegment) END AS coded,
+  coalesce(c_mktsegment LIKE 'A%', false) AS coded_failed
+FROM customer
 """,
     "estimate_table_whole": f"""
 WITH {PROMPT_WHOLE_SQL}, sized AS (SELECT dsstox, part, length(full_prompt) AS n FROM full_prompts),

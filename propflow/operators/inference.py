@@ -44,7 +44,8 @@ def safe_codec(codec: Callable[[str], object], returns: str | DataType) -> Calla
 
     @F.pandas_udf(returns)
     def convert(values: pd.Series) -> pd.Series:
-        return values.map(attempt)
+        answers = {value: attempt(value) for value in values.unique()}
+        return values.map(answers.get)
 
     return convert
 
@@ -63,6 +64,17 @@ def apply_codec(
     return done.withColumn(f"{out}_failed", given & F.col(out).isNull())
 
 
+def apply_codec_once(
+    df: DataFrame, column: str, codec: Callable[[str], object], out: str, returns: str
+) -> DataFrame:
+    """As `apply_codec`, with the codec asked once per distinct value of the whole table."""
+    values = df.select(F.col(column).alias("_value")).where(F.length("_value") > 0).distinct()
+    coded = materialize(values.withColumn(out, safe_codec(codec, returns)(F.col("_value"))))
+    done = df.join(coded, F.col(column) == F.col("_value"), "left").drop("_value")
+    given = F.coalesce(F.length(column) > 0, F.lit(False))
+    return done.withColumn(f"{out}_failed", given & F.col(out).isNull())
+
+
 def _within(timeout: float, model: Callable[..., str], values: tuple) -> str:
     """The model's answer; a call that takes longer is left behind in its thread."""
     outcome: list[tuple[bool, object]] = []
@@ -199,7 +211,8 @@ def ask_in_waves(
     The keys are asked in `waves` by prefix; each wave's answers and errors are committed to the memo
     before the next begins, so a job that is lost asks again only what its last wave asked. Only the
     asked prefixes of the memo are read; `digits` of a key make one, the same in all runs over a memo. A
-    stored error is asked again by a later run. Turn speculation off for such jobs: a second attempt of a task asks its rows again.
+    stored error is asked again by a later run. Turn speculation off for such jobs: a second attempt of
+    a task asks its rows again.
     """
     memo = Memo(requests.sparkSession, memo_path, digits)
     before = max(memo.generations(), default=0)

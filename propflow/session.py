@@ -30,11 +30,13 @@ def build_session(master: str = "local[8]", app: str = "propflow", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: `spark.checkpoint.dir`, else one below the session's warehouse."""
+    """The folder all executors can reach: `spark.checkpoint.dir`; on one machine also one below the warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from propflow.operators.inference import accepts, infer, safe_codec
+from propflow.operators.inference import accepts, apply_codec_once, infer, safe_codec
 from propflow.plans.estimates import ENDPOINTS, estimate_entities, evaluated, lookup_rows, question_estimates
 from propflow.plans.property_table import property_table
 from propflow.plans.sequences import SPECIALS, build_vocabulary, tokenised, training_rows
@@ -140,3 +140,17 @@ def test_checks_and_spread_requests(spark):
     spread = infer(df.where("t is not null"), "id", ["t"], str.upper, tasks=3)
     assert sorted(r.result for r in spread.collect()) == ["BAD", "OK"]
     assert spread.rdd.getNumPartitions() == 3
+
+
+def test_a_codec_is_asked_once_per_value(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def codec(text):
+        calls.add(1)
+        return {"a": 1, "b": 2}[text]
+
+    rows = [(i, ["a", "b", "bad", "", None][i % 5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(8)
+    got = {r.id: (r.n, r.n_failed) for r in apply_codec_once(df, "t", codec, "n", "int").collect()}
+    expected = {"a": (1, False), "b": (2, False), "bad": (None, True)}
+    assert got == {i: expected.get(t, (None, False)) for i, t in rows} and calls.value == 3
