@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from propflow.llm.bits import Bits, bitmap
 from propflow.llm.hashing import mix, prefix_sums, span_hashes, text_slices
 from propflow.session import materialize
 
@@ -31,7 +32,7 @@ TOP = 2000
 SCALE = 1_000_000
 POOL = 2 << 20  # phrases counted at a time in a task
 BATCH = 1 << 16  # rows handed over at a time
-LEAST_BITS, MOST_BITS = 16, 28  # of a bitmap, as powers of two: at most 32 MB
+LEAST_BITS = 16  # of a bitmap, as a power of two
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,29 +86,6 @@ class Run:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64).tobytes()), data).cast(pa.string())
 
 
-class Bits:
-    """A set of hashes that may say yes to others too."""
-
-    def __init__(self, cells: np.ndarray, power: int):
-        self.cells, self.power = cells, power
-
-    def has(self, hashed: np.ndarray) -> np.ndarray:
-        place = hashed >> np.uint64(64 - self.power)
-        return (self.cells[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
-def bitmap(hashed: DataFrame) -> Bits:
-    """The bits of column `h`, sixteen per hash as far as the largest bitmap goes; set in the tasks, merged by word."""
-    power = min(max((hashed.count() * 16).bit_length(), LEAST_BITS), MOST_BITS)
-    place = F.shiftrightunsigned("h", 64 - power)
-    word = F.shiftrightunsigned(place, 6).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - power}) & 63 as int))")
-    words = hashed.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    cells = np.zeros(1 << (power - 6), dtype=np.uint64)  # at most 2 ** (MOST_BITS - 6) words
-    cells[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return Bits(cells, power)
-
-
 def _runs(batch: pa.RecordBatch, most_words: int):
     """(run, salt of each row's language, salt of its shard, first row, rows)."""
     langs, shards = batch.column("lang").to_pylist(), batch.column("shard").to_pylist()
@@ -169,8 +147,11 @@ def _local(batches, words: int, shorter: Bits | None):
 
 
 def _frequent(mined: DataFrame, supports: DataFrame) -> DataFrame:
-    """(grp, key) of the phrases that reach their shard's support."""
-    counts = mined.groupBy("grp", "key").agg(F.sum("c").alias("c"))
+    """(grp, key) of the phrases that reach their shard's support.
+
+    Tasks have counted what they hold; the rest differs from task to task, so it moves as it is.
+    """
+    counts = mined.select("grp", "key", "c").repartition("grp", "key").groupBy("grp", "key").agg(F.sum("c").alias("c"))
     return counts.join(supports, "grp").where("c >= support").select("grp", "key")
 
 
@@ -178,7 +159,7 @@ def _level(docs: DataFrame, words: int, shorter: DataFrame | None) -> DataFrame:
     """What the tasks count of phrases of one length, those only whose shorter parts are frequent in the shard."""
     bits = None
     if shorter is not None:
-        bits = docs.sparkSession.sparkContext.broadcast(bitmap(shorter.select(F.col("grp").bitwiseXOR(F.col("key")).alias("h"))))
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap(shorter.select(F.col("grp").bitwiseXOR(F.col("key")).alias("h")), LEAST_BITS))
     return docs.mapInArrow(
         lambda batches: _local(batches, words, bits and bits.value), "lang string, shard int, grp bigint, key bigint, c bigint"
     )
@@ -234,7 +215,7 @@ def phrase_counts(
     for words in range(2, most_words + 1):
         found = materialize(_frequent(_level(rows, words, found), supports))
         union = union.unionByName(found.select("key"))
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(union.distinct().select(F.col("key").alias("h"))))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(union.distinct().select(F.col("key").alias("h")), LEAST_BITS))
     counts = rows.mapInArrow(
         lambda batches: _occurrences(batches, most_words, wanted.value), "lang string, phrase string, words int, f bigint"
     )
