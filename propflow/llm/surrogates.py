@@ -11,6 +11,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -99,7 +100,26 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             touching = [f for f in found if f[0] < end and f[1] > start]
             if not any(f[0] <= start and f[1] >= end for f in touching):
                 found = sorted([f for f in found if f not in touching] + [(start, end, "card", m.group())])
-    return found
+    return _with_mentions(text, found)
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The entities with every other mention of a found name as a whole word that starts with a capital."""
+    names: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind.startswith(("given", "last")):
+            names.setdefault(value.casefold(), kind)
+    if not names:
+        return found
+    starts, more = [f[0] for f in found], []
+    anywhere = re.compile(rf"\b(?:{'|'.join(re.escape(n) for n in sorted(names, key=len, reverse=True))})\b", re.IGNORECASE)
+    for m in anywhere.finditer(text):
+        before = bisect_right(starts, m.start()) - 1
+        kind = names.get(m.group().casefold())
+        apart = (before < 0 or found[before][1] <= m.start()) and (before + 1 == len(found) or starts[before + 1] >= m.end())
+        if kind and apart and m.group()[0].isupper():
+            more.append((*m.span(), kind, m.group()))
+    return sorted(found + more)
 
 
 def _is_ipv6(value: str) -> bool:
@@ -147,9 +167,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return stem + (ENDINGS[script, parts[1]] if parts[0] == "given" else "")
     if kind == "email":
         local, _, domain = value.partition("@")
-        return "".join(
-            chr(97 + draw.below(26)) if c.isalpha() else str(draw.below(10)) if c.isdigit() else c for c in local
-        ) + "@" + "".join(chr(97 + draw.below(26)) for _ in range(8)) + ".example." + domain.rsplit(".", 1)[-1]
+        host = _Draw(key, "domain", domain, 0)  # addresses of one domain stay together
+        fake = "".join(chr(97 + draw.below(26)) if c.isalpha() else str(draw.below(10)) if c.isdigit() else c for c in local)
+        fake += "".join(chr(97 + draw.below(26)) for _ in range(attempt // 4))
+        return f"{fake}@{''.join(chr(97 + host.below(26)) for _ in range(12))}.example.{domain.rsplit('.', 1)[-1]}"
     keep, tail = {"iban": 4, "phone": 2, "card": 1}.get(kind, 0), len(value)
     if kind == "secret" and (prefix := _PREFIX.match(value)):
         keep = prefix.end()
@@ -234,12 +255,15 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """All rows and columns, `text` with surrogates, and `n_entities`.
 
-    Null and empty texts stay as they are with no entities; equal rows are replaced alike. Entities
-    are joined to their replacements as rows, so one that occurs everywhere is split like any
-    skewed join; whole texts move once, to meet their replacements.
+    Null and empty texts stay as they are with no entities; equal rows are replaced alike. A column
+    named `n_entities` gives way to the count. A name found once in a text is replaced wherever the
+    text has it as a word with a capital, alone or in capitals. Entities are joined to their
+    replacements as rows, so one that occurs everywhere is split like any skewed join; whole texts
+    move once, to meet their replacements.
     """
-    row = F.xxhash64("doc_id", "text")
-    found = docs.where("text is not null").select(row.alias("row"), "text").mapInArrow(_detect, f"row bigint, spans {_SPANS}")
+    # 128 bits: no row takes another's spans, however many there are
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x1f"), "text")))
+    found = docs.where("text is not null").select(row.alias("row"), "text").mapInArrow(_detect, f"row binary, spans {_SPANS}")
     found = materialize(found.where(F.size("spans") > 0).dropDuplicates(["row"]))
     spans = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     # spellings of one entity: case in names and addresses, separators in numbers
@@ -260,5 +284,5 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     done = F.aggregate("_cuts", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(done)
-    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_entities"]
     return both.select(*kept, F.coalesce(F.size("_cuts"), F.lit(0)).alias("n_entities"))
