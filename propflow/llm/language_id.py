@@ -119,15 +119,20 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> DataFrame:
-    """(lang, n1 / (n1 + 2 n2)) of the grams seen once and twice."""
+def _by_lang(values: dict[str, float]) -> Column:
+    """The value of the row's language."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("lang"))
+
+
+def _discounts(counts: DataFrame) -> dict[str, float]:
+    """Each language's n1 / (n1 + 2 n2) of the grams seen once and twice."""
     n1, n2 = (F.sum((F.col("c") == k).cast("double")) for k in (1, 2))
     share = F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(0.5)
-    return counts.groupBy("lang").agg(share.alias("d"))
+    return {r.lang: r.d for r in counts.groupBy("lang").agg(share.alias("d")).collect()}  # a number per language
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The models of all languages: weights (k, g, lang, w) and (lang, floor), what every symbol starts from.
+def train(texts: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """The models of all languages: weights (k, g, lang, w), and by language the floor that every symbol starts from.
 
     Texts without a letter and rows without a language teach nothing.
     """
@@ -136,17 +141,19 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         shorter = F.col("g").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("g")
         counts[k] = materialize(counts[k + 1].select("lang", shorter).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("c")))
     symbols = counts[1].select("g").distinct().count()
-    weights, below, floors = [], None, None
+    if not symbols:
+        return counts[1].select(F.lit(1).alias("k"), "g", "lang", F.lit(0.0).alias("w")), {}
+    weights, below, floors = [], None, {}
     for k in range(1, ORDER + 1):
         context = F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long")
-        rows = counts[k].join(_discounts(counts[k]), "lang").withColumn("h", context)
+        rows = counts[k].withColumns({"d": _by_lang(_discounts(counts[k])), "h": context})
         contexts = rows.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
         rows = rows.join(contexts, ["lang", "h"])
         seen = (F.col("c") - F.col("d")) / F.col("total")
         if k == 1:
-            floors = materialize(contexts.select("lang", F.log(F.col("gamma") / (symbols + 1)).alias("floor")))
-            below = materialize(rows.join(floors, "lang").select("lang", "g", F.log(seen + F.exp("floor")).alias("lp"), "floor"))
-            weights.append(below.select(F.lit(1).alias("k"), "g", "lang", (F.col("lp") - F.col("floor")).alias("w")))
+            floors = {r.lang: math.log(r.gamma / (symbols + 1)) for r in contexts.select("lang", "gamma").collect()}
+            below = materialize(rows.select("lang", "g", F.log(seen + F.exp(_by_lang(floors))).alias("lp")))
+            weights.append(below.select(F.lit(1).alias("k"), "g", "lang", (F.col("lp") - _by_lang(floors)).alias("w")))
         else:
             tail = F.col("g").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1))
             lower = below.select("lang", F.col("g").alias("t"), F.col("lp").alias("lower"))
@@ -312,8 +319,7 @@ def predict_languages(docs: DataFrame, quantile: float = QUANTILE, model_rows: i
     key = F.col("doc_id")
     rows = docs.select(key.cast("long").alias("doc_id"), fold(key).alias("fold"), _calibrates(key).alias("aside"), "lang", "text")
     learning = (F.col("fold") != 0) & F.col("lang").isNotNull()
-    model, floors = train(rows.where(learning & ~F.col("aside")))
-    floor = {r.lang: r.floor for r in floors.collect()}  # a number per language
+    model, floor = train(rows.where(learning & ~F.col("aside")))
     held_out = F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out")
     if not floor:
         nothing = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy")]
