@@ -1,13 +1,16 @@
 """Repeated byte strings removed from texts, found by a distributed difference-cover suffix order.
 
-Positions 1 and 2 modulo 3 are the cover. Their triples are sorted across the cluster and named by
-rank; triples of names are sorted and named in turn, until names order the first 81 bytes of every
-cover suffix. A remaining suffix is its first bytes and a cover suffix; any two positions reach the
-cover together after 0, 1 or 2 bytes, so three sorted lists hold every pair that can be equal, and
-neighbours with one 100-byte prefix are repeats. Before that, exact copies are set aside and bytes
-that lie in no repeated string are left out: every 100-byte string holds the least 72-byte gram of
-its window, and a gram that occurs once repeats nothing. What is left is cut at grams into chunks;
-equal chunks are sorted once, as the earliest of them holds the earliest place of each string.
+Positions 1 and 2 modulo 3 are the cover. Their triples of six-byte symbols are sorted across the
+cluster and named by rank, then triples of names are, until names order the first 54 bytes of every
+cover suffix. A remaining suffix is its first bytes and cover suffixes; any two positions reach the
+cover together after 0, 1 or 2 bytes, so three sorted lists hold every pair that can be equal. Each
+list is sorted by 100-byte prefix and place, and a row whose prefix is its predecessor's is a repeat.
+
+Before that, bytes that need no sorting are set aside. Exact copies of texts go first. Every
+100-byte string holds the least 72-byte gram of its window, so a gram that occurs once repeats
+nothing. Where the bytes around a gram, as far as its windows reach, occur a second time, all of the
+windows do: the later ones are runs, and the first stays in the sort only if its gram also occurs
+between other bytes.
 """
 
 from __future__ import annotations
@@ -18,14 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from propflow.llm.hashing import mix, prefix_sums, span_hashes
+from propflow.llm.bits import Bits, bitmap
+from propflow.llm.hashing import prefix_sums, span_hashes
 from propflow.operators.ordering import global_rank
 from propflow.session import materialize
 
 LENGTH = 100
 GRAM = 72
-ANCHORS_PER_CHUNK = 16  # a chunk holds so many least grams on average
-LEVELS = (3, 9, 27)  # bytes that the names of each level cover; their triples cover three times that
+MARGIN = LENGTH - GRAM
+SYMBOL = 6  # bytes of a symbol; a multiple of 3, so that steps stay within the cover
+SHORT, LONG = 3 * SYMBOL, 9 * SYMBOL  # bytes that names of the first and the second sort cover
+REST = LENGTH - 2 - LONG - (LENGTH - 2 - LONG) % 3  # from one long name to the next, within the cover
+POOL = 2 << 20  # grams counted at a time in a task
+BATCH = 1 << 16  # rows handed over at a time
 
 
 def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +41,7 @@ def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = prefix_sums(data)
     starts = np.arange(len(data) - GRAM + 1)
     hashed = span_hashes(sums, starts, starts + GRAM)
-    width = LENGTH - GRAM + 1
+    width = MARGIN + 1
     windows = np.lib.stride_tricks.sliding_window_view(hashed, width)
     chosen = [np.unique(windows[k : k + 65536].argmin(axis=1) + np.arange(k, min(k + 65536, len(windows)))) for k in range(0, len(windows), 65536)]
     places = np.unique(np.concatenate(chosen))
@@ -44,74 +52,106 @@ def _bytes(value) -> np.ndarray:
     return np.frombuffer((value.as_py() or "").encode(), dtype=np.uint8)
 
 
-def _anchors(batches):
-    for batch in batches:
-        ids = batch.column("doc").to_pylist()
-        for doc, text in zip(ids, batch.column("text"), strict=True):
-            data = _bytes(text)
-            if len(data) >= LENGTH:
-                places, hashed = least_grams(data)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(places), pa.int64()), pa.array(places), pa.array(hashed.view(np.int64))],
-                    ["doc", "place", "h"],
-                )
+def _handed(columns: list[np.ndarray], names: list[str]):
+    """Long rows in batches."""
+    for at in range(0, len(columns[0]), BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + BATCH]) for c in columns], names)
 
 
-def _cuts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Places chosen by the gram that starts there, so that copies of a stretch are cut alike.
+def _grams(batches):
+    """(h, c): each task's grams with 1 or 2 for once or more often."""
+    pool, held = [], 0
 
-    Of chosen places in a row, each near the one before, only the first is a cut: a run of one byte
-    stays whole.
-    """
-    hashed = span_hashes(prefix_sums(data), places, places + GRAM)
-    chosen = places[mix(hashed) % np.uint64(ANCHORS_PER_CHUNK) == 0]
-    return chosen[np.diff(chosen, prepend=-LENGTH) > LENGTH - GRAM]
+    def counted():
+        every = np.concatenate(pool)
+        every.sort()
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        often = np.minimum(np.diff(np.append(first, len(every))), 2).astype(np.int8)
+        return _handed([every[first].view(np.int64), often], ["h", "c"])
 
+    for batch in batches:
+        for text in batch.column("text"):
+            data = _bytes(text)
+            if len(data) >= LENGTH:
+                pool.append(least_grams(data)[1])
+                held += len(pool[-1])
+                if held >= POOL:
+                    yield from counted()
+                    pool, held = [], 0
+    if pool:
+        yield from counted()
 
-def _chunks(batches):
-    """(doc, at, data): the stretches of a text around its repeated grams, in chunks.
 
-    A chunk reaches one byte less than LENGTH into the next one, so each string of a stretch lies
-    in exactly one chunk.
-    """
+def _contexts(batches, repeated: Bits):
+    """(h, k1, k2, doc, place): the grams that may be repeated, with a hash of all bytes that their windows reach."""
     for batch in batches:
-        for doc, text, places in zip(*(batch.column(c) for c in ("doc", "text", "places")), strict=True):
-            data, places = _bytes(text), np.sort(np.array(places.as_py(), dtype=np.int64))
-            low = np.maximum(places - (LENGTH - GRAM), 0)
-            high = np.maximum.accumulate(np.minimum(places + LENGTH, len(data)))
-            new = np.concatenate([[True], low[1:] > high[:-1]])
-            starts = low[new]
-            ends = high[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(high) - 1]])]
-            first = np.unique(np.concatenate([starts, _cuts(data, places)]))
-            own_end = ends[np.searchsorted(starts, first, side="right") - 1]
-            last = np.minimum(np.append(first[1:], len(data)) + LENGTH - 1, own_end)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([doc.as_py()] * len(first), pa.int64()),
-                    pa.array(first),
-                    pa.array([data[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary()),
-                ],
-                ["doc", "at", "data"],
+        rows = [[] for _ in range(4)]
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+            data = _bytes(text)
+            if len(data) < LENGTH:
+                continue
+            places, hashed = least_grams(data)
+            kept = repeated.has(hashed)
+            places, hashed = places[kept], hashed[kept]
+            raw = data.tobytes()
+            lows = np.maximum(places - MARGIN, 0).tolist()
+            keys = b"".join(
+                hashlib.blake2b(raw[low : p + LENGTH], digest_size=16, salt=bytes([p - low])).digest() for low, p in zip(lows, places.tolist(), strict=True)
             )
+            for column, values in zip(rows, (hashed.view(np.int64), np.frombuffer(keys, dtype=np.int64).reshape(-1, 2), np.full(len(places), doc), places), strict=True):
+                column.append(values)
+        if rows[0]:
+            h, keys, doc, place = (np.concatenate(c) for c in rows)
+            yield from _handed([h, keys[:, 0], keys[:, 1], doc, place], ["h", "k1", "k2", "doc", "place"])
 
 
-def _triples(batches, level: int):
-    """Cover triples of a level: bytes at the first, names of the level before at the others."""
-    step = LEVELS[level] // 3
+def _pieces(batches):
+    """(doc, at, data): the stretches of a text that the windows of its places reach."""
     for batch in batches:
-        for doc, at, data, names in zip(*(batch.column(c) for c in ("doc", "at", "data", "names")), strict=True):
-            if level == 0:
-                own = np.frombuffer(data.as_py(), dtype=np.uint8).astype(np.int64)
+        docs, starts, parts = [], [], []
+        for doc, text, places in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            data, places = _bytes(text), np.sort(np.array(places.as_py(), dtype=np.int64))
+            low = np.maximum(places - MARGIN, 0)
+            high = np.minimum(places + LENGTH, len(data))
+            new = np.flatnonzero(np.concatenate([[True], low[1:] > np.maximum.accumulate(high)[:-1]]))
+            ends = np.maximum.reduceat(high, new)
+            raw = data.tobytes()
+            docs += [doc] * len(new)
+            starts += low[new].tolist()
+            parts += [raw[a:b] for a, b in zip(low[new].tolist(), ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], ["doc", "at", "data"])
+
+
+def _cover(size: int, reach: int, at: int) -> np.ndarray:
+    """Cover places of a piece from which `reach` bytes follow."""
+    place = np.arange(max(size - reach + 1, 0))
+    return place[(place + at) % 3 != 0]
+
+
+def _whole_numbers(raw: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """Big-endian numbers of some bytes from each place."""
+    out = np.zeros(len(place), dtype=np.int64)
+    for k in range(size):
+        out = out << 8 | raw[place + k]
+    return out
+
+
+def _triples(batches, named: bool):
+    """(pid, place, t1, t2, t3): cover triples of symbols, or of the names of the first sort."""
+    step, reach = (SHORT, LONG) if named else (SYMBOL, SHORT)
+    for batch in batches:
+        rows = []
+        for i, (pid, at, data) in enumerate(zip(batch.column("pid").to_pylist(), batch.column("at").to_pylist(), batch.column("data"), strict=True)):
+            raw = np.frombuffer(data.as_py(), dtype=np.uint8).astype(np.int64)
+            place = _cover(len(raw), reach, at)
+            if named:
+                own = batch.column("names")[i].values.to_numpy()
+                t = [own[place + k * step] for k in range(3)]
             else:
-                own = np.array(names.as_py(), dtype=np.int64)
-            place = np.arange(len(data.as_py()) - LEVELS[level] + 1)
-            place = place[(place + at.as_py()) % 3 != 0]
-            columns = [own[place + k * step] for k in range(3)]
-            n = len(place)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc.as_py()] * n, pa.int64()), pa.array([at.as_py()] * n, pa.int64()), pa.array(place), *map(pa.array, columns)],
-                ["doc", "at", "place", "t1", "t2", "t3"],
-            )
+                t = [_whole_numbers(raw, place + k * step, SYMBOL) for k in range(3)]
+            rows.append([np.full(len(place), pid), place, *t])
+        if rows:
+            yield from _handed([np.concatenate(c) for c in zip(*rows, strict=True)], ["pid", "place", "t1", "t2", "t3"])
 
 
 def _ranked(batches):
@@ -130,15 +170,15 @@ def _ranked(batches):
 
 
 def name_triples(rows: DataFrame) -> DataFrame:
-    """`name`: the rank of each row's triple among all distinct triples.
+    """(pid, place, name): the rank of each row's triple among all distinct triples.
 
     Rows are sorted in ranges of (triple, place), so a triple that very many rows share spreads over
     ranges; the ranges' first and last triples, one row each, tell where a rank goes on.
     """
     key = ["t1", "t2", "t3"]
-    sorted_rows = rows.repartitionByRange(*key, "doc", "at", "place").sortWithinPartitions(*key)
-    schema = "doc bigint, at bigint, place bigint, t1 bigint, t2 bigint, t3 bigint, r bigint"
-    ranked = materialize(sorted_rows.mapInArrow(_ranked, schema).withColumn("part", F.spark_partition_id()))
+    sorted_rows = rows.repartitionByRange(*key, "pid", "place").sortWithinPartitions(*key)
+    ranked = sorted_rows.mapInArrow(_ranked, "pid bigint, place bigint, t1 bigint, t2 bigint, t3 bigint, r bigint")
+    ranked = materialize(ranked.withColumn("part", F.spark_partition_id()))
     triple = F.struct(*key)
     parts = ranked.groupBy("part").agg(F.min(triple).alias("low"), F.max(triple).alias("high"), F.max("r").alias("top")).collect()
     offsets, total, last = [], 0, None
@@ -147,116 +187,133 @@ def name_triples(rows: DataFrame) -> DataFrame:
         offsets.append((row.part, total))
         total, last = total + row.top + 1, row.high
     if not offsets:
-        return ranked.select("doc", "at", "place", F.col("r").alias("name"))
+        return ranked.select("pid", "place", F.col("r").alias("name"))
     table = rows.sparkSession.createDataFrame(offsets, "part int, ahead bigint")
-    return ranked.join(F.broadcast(table), "part").select("doc", "at", "place", (F.col("r") + F.col("ahead")).alias("name"))
+    return ranked.join(F.broadcast(table), "part").select("pid", "place", (F.col("r") + F.col("ahead")).alias("name"))
 
 
 def _with_names(pieces: DataFrame, named: DataFrame, out: str) -> DataFrame:
     """Names back in their pieces, as an array by place with 0 outside the cover."""
-    lists = named.groupBy("doc", "at").agg(F.collect_list(F.struct("place", "name")).alias("_n"))
-    joined = pieces.join(lists, ["doc", "at"], "left")
+    lists = named.groupBy("pid").agg(F.collect_list("place").alias("_p"), F.collect_list("name").alias("_n"))
+    joined = pieces.join(lists, "pid", "left")
+    kept = [c for c in joined.columns if c not in ("_p", "_n")]
 
     def spread(batches):
         for batch in batches:
-            full = []
-            for data, pairs in zip(batch.column("data"), batch.column("_n"), strict=True):
-                own = np.zeros(len(data.as_py()), dtype=np.int64)
-                for pair in pairs.as_py() or []:
-                    own[pair["place"]] = pair["name"]
-                full.append(own)
-            i = batch.schema.get_field_index("_n")
-            yield batch.set_column(i, out, pa.array(full, pa.list_(pa.int64())))
-
-    kinds = ", ".join(f"{c} {t}" for c, t in joined.drop("_n").dtypes)
+            sizes = np.array([len(d.as_py()) for d in batch.column("data")], dtype=np.int64)
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            places, names = batch.column("_p"), batch.column("_n")
+            counts = np.array([len(p) if p.is_valid else 0 for p in places], dtype=np.int64)
+            full = np.zeros(begin[-1], dtype=np.int64)
+            full[places.flatten().to_numpy() + np.repeat(begin[:-1], counts)] = names.flatten().to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(full))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, out])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in joined.select(*kept).dtypes)
     return materialize(joined.mapInArrow(spread, f"{kinds}, {out} array<bigint>"))
 
 
 def _suffixes(batches):
     """Each 100-byte string twice: in the lists of the two shifts after which it meets the cover.
 
-    Shift s compares s bytes, the names of 81 and 27 bytes from there, and the bytes still missing.
+    Shift s compares s bytes, two names of 54 bytes that lap over, and the bytes still missing.
     """
     for batch in batches:
-        for doc, at, data, short, long in zip(*(batch.column(c) for c in ("doc", "at", "data", "names", "names81")), strict=True):
+        rows = []
+        for doc, at, data, names in zip(batch.column("doc").to_pylist(), batch.column("at").to_pylist(), batch.column("data"), batch.column("names"), strict=True):
             raw = np.frombuffer(data.as_py(), dtype=np.uint8).astype(np.int64)
-            n27, n81 = np.array(short.as_py(), dtype=np.int64), np.array(long.as_py(), dtype=np.int64)
-            place = np.arange(max(len(raw) - LENGTH + 1, 0))
+            own = names.values.to_numpy()
+            window = np.arange(max(len(raw) - LENGTH + 1, 0))
             for shift in range(3):
-                residue = (place + at.as_py()) % 3
-                own = place[residue != (0, 2, 1)[shift]]  # shift 0 joins 1 and 2, 1 joins 0 and 1, 2 joins 0 and 2
-                reach = 72 if shift < 2 else 69
-                edges = np.zeros(len(own), dtype=np.int64)
-                for k in [*range(shift), *range(shift + reach + 27, LENGTH)]:
-                    edges = edges * 256 + raw[own + k]
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([shift] * n, pa.int32()), pa.array(n81[own + shift]), pa.array(n27[own + shift + reach]),
-                        pa.array(edges), pa.array([doc.as_py()] * n, pa.int64()), pa.array(own + at.as_py()),
-                    ],
-                    ["shift", "a", "b", "c", "doc", "start"],
-                )
-
-
-def repeated_runs(reps: DataFrame) -> DataFrame:
-    """(doc, start, stop): strings that also start earlier, one by one or as whole chunks.
+                # shift 0 joins residues 1 and 2, 1 joins 0 and 1, 2 joins 0 and 2
+                w = window[(window + at) % 3 != (0, 2, 1)[shift]]
+                edges = np.full(len(w), shift, dtype=np.int64)
+                for k in [*range(shift), *range(shift + REST + LONG, LENGTH)]:
+                    edges = edges << 8 | raw[w + k]
+                rows.append([own[w + shift], own[w + shift + REST], edges, np.full(len(w), doc), w + at])
+        if rows:
+            yield from _handed([np.concatenate(c) for c in zip(*rows, strict=True)], ["a", "b", "c", "doc", "start"])
+
+
+def _repeats(batches):
+    """Of a sorted partition: the rows whose key is their predecessor's (kind 0), its first row (1) and its last (2)."""
+    last = None
+    names = ["a", "b", "c", "doc", "start"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+        same = np.zeros(len(rows), dtype=bool)
+        same[1:] = (rows[1:, :3] == rows[:-1, :3]).all(axis=1)
+        kind = np.zeros(len(rows), dtype=np.int8)
+        if last is None:
+            kind[0] = 1
+        else:
+            same[0] = (rows[0, :3] == last[:3]).all()
+        out = rows[same | (kind == 1)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in out.T), pa.array(kind[same | (kind == 1)])], [*names, "kind"])
+        last = rows[-1]
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in last.tolist()), pa.array([2], pa.int8())], [*names, "kind"])
+
+
+def _neighbours(keys: DataFrame) -> DataFrame:
+    """(doc, start) of every row that has an equal key before it in the order of (key, doc, start)."""
+    order = ["a", "b", "c", "doc", "start"]
+    rows = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = rows.mapInArrow(_repeats, "a bigint, b bigint, c bigint, doc bigint, start bigint, kind tinyint")
+    found = materialize(found.withColumn("part", F.spark_partition_id()))
+    ends = found.where("kind > 0").collect()  # two rows per partition
+    firsts, lasts = ({r.part: r for r in ends if r.kind == k} for k in (1, 2))
+    parts = sorted(firsts)
+    across = [firsts[q] for p, q in zip(parts, parts[1:], strict=False) if firsts[q][:3] == lasts[p][:3]]
+    repeats = found.where("kind = 0").select("doc", "start")
+    if across:
+        repeats = repeats.unionByName(keys.sparkSession.createDataFrame([(r.doc, r.start) for r in across], "doc bigint, start bigint"))
+    return repeats.distinct()
+
+
+def _sorted_repeats(pieces: DataFrame) -> DataFrame:
+    """(doc, start): the 100-byte strings of the pieces (doc, at, data) that also start earlier."""
+    pieces = materialize(pieces.withColumn("pid", F.monotonically_increasing_id()))
+    schema = "pid bigint, place bigint, t1 bigint, t2 bigint, t3 bigint"
+    short = _with_names(pieces, name_triples(pieces.mapInArrow(lambda b: _triples(b, False), schema)), "names")
+    long = _with_names(pieces, name_triples(short.mapInArrow(lambda b: _triples(b, True), schema)), "names")
+    return _neighbours(long.mapInArrow(_suffixes, "a bigint, b bigint, c bigint, doc bigint, start bigint"))
+
+
+def repeated_strings(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc, start) of strings that also start earlier, (doc, place) of grams all of whose windows do).
 
     `reps` (doc, text) are texts numbered in the order in which they count as earlier.
     """
-    anchors = materialize(reps.mapInArrow(_anchors, "doc bigint, place bigint, h bigint"))
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    places = anchors.join(often, "h", "left_semi").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"))
+    grams = reps.mapInArrow(_grams, "h bigint, c tinyint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    repeated = reps.sparkSession.sparkContext.broadcast(bitmap(materialize(grams.select("h"))))
+    schema = "h bigint, k1 bigint, k2 bigint, doc bigint, place bigint"
+    contexts = materialize(reps.mapInArrow(lambda b: _contexts(b, repeated.value), schema))
+    keys = ["h", "k1", "k2"]
+    spot = F.struct("doc", "place")
+    first = materialize(contexts.groupBy(*keys).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")))
+    later = contexts.join(first.where("n > 1").select(*keys, "first"), keys).where(spot > F.col("first")).select("doc", "place")
+    several = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    places = first.join(several, "h", "left_semi").groupBy(F.col("first.doc").alias("_doc")).agg(F.collect_list("first.place").alias("places"))
     marked = reps.join(places, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
-    chunks = materialize(marked.mapInArrow(_chunks, "doc bigint, at bigint, data binary").where(F.length("data") >= LENGTH))
-    key = F.sha2("data", 256)
-    first = chunks.groupBy(key.alias("key")).agg(F.min(F.struct("doc", "at")).alias("f"))
-    copied = chunks.withColumn("key", key).join(first, "key")
-    copied = materialize(copied.withColumn("copy", F.struct("doc", "at") > F.col("f")).drop("f", "key"))
-    copies = copied.where("copy").select("doc", F.col("at").alias("start"), (F.col("at") + F.length("data")).alias("stop"))
-    pieces = copied.where("not copy").drop("copy")
-    held = pieces.withColumn("names", F.lit(None).cast("array<bigint>"))
-    schema = "doc bigint, at bigint, place bigint, t1 bigint, t2 bigint, t3 bigint"
-    for level in range(len(LEVELS)):
-        rows = held.mapInArrow(lambda batches, level=level: _triples(batches, level), schema)
-        held = _with_names(pieces, name_triples(rows), "names")
-    top = held.mapInArrow(lambda batches: _top(batches), schema)
-    both = _with_names(held, name_triples(top), "names81")
-    keys = both.mapInArrow(_suffixes, "shift int, a bigint, b bigint, c bigint, doc bigint, start bigint")
-    keys = materialize(keys)
-    first = keys.groupBy("shift", "a", "b", "c").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = keys.join(first.where("n > 1"), ["shift", "a", "b", "c"]).where(F.struct("doc", "start") > F.col("first"))
-    single = later.select("doc", "start").distinct()
-    return single.withColumn("stop", F.col("start") + LENGTH).unionByName(copies)
-
-
-def _top(batches):
-    """Cover triples of the last names: 81 bytes."""
-    step = LEVELS[-1]
-    for batch in batches:
-        for doc, at, names in zip(*(batch.column(c) for c in ("doc", "at", "names")), strict=True):
-            own = np.array(names.as_py(), dtype=np.int64)
-            place = np.arange(max(len(own) - 3 * step + 1, 0))
-            place = place[(place + at.as_py()) % 3 != 0]
-            n = len(place)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc.as_py()] * n, pa.int64()), pa.array([at.as_py()] * n, pa.int64()), pa.array(place)]
-                + [pa.array(own[place + k * step]) for k in range(3)],
-                ["doc", "at", "place", "t1", "t2", "t3"],
-            )
+    return _sorted_repeats(marked.mapInArrow(_pieces, "doc bigint, at bigint, data binary")), later
 
 
 def _removed(batches):
     for batch in batches:
         out = []
-        for text, runs, copy in zip(*(batch.column(c) for c in ("text", "runs", "copy")), strict=True):
+        for text, starts, places, copy in zip(*(batch.column(c) for c in ("text", "starts", "places", "copy")), strict=True):
             data = _bytes(text)
             gone = np.zeros(len(data) + 1, dtype=np.int64)
             if copy.as_py() and len(data) >= LENGTH:
                 gone[0], gone[-1] = 1, -1
-            for run in runs.as_py() or []:
-                gone[run["start"]] += 1
-                gone[run["stop"]] -= 1
+            for spans, before in ((starts, 0), (places, MARGIN)):
+                if spans.is_valid:
+                    at = spans.values.to_numpy()
+                    np.add.at(gone, np.maximum(at - before, 0), 1)
+                    np.add.at(gone, np.minimum(at + LENGTH, len(data)), -1)
             cover = np.cumsum(gone)[:-1] > 0
             edges = np.diff(np.concatenate([[False], cover]).astype(np.int8)) == 1
             out.append((len(data), int(cover.sum()), int(edges.sum()), hashlib.sha256(data[~cover].tobytes()).hexdigest()))
@@ -281,9 +338,11 @@ def removal_report(docs: DataFrame) -> DataFrame:
     first = keyed.groupBy("key").agg(F.min("id").alias("first"))
     first = materialize(global_rank(first, "first", "key", out="doc").withColumn("doc", F.col("doc").cast("long")))
     marked = materialize(keyed.join(first, "key").withColumn("copy", F.col("id") > F.col("first")).drop("key", "id", "first"))
-    reps = marked.where("not copy").select("doc", "text")
-    runs = repeated_runs(reps).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    both = marked.join(runs, (F.col("doc") == F.col("_doc")) & ~F.col("copy"), "left")
-    return both.select("doc_id", "text", "runs", "copy").mapInArrow(
+    starts, places = repeated_strings(marked.where("not copy").select("doc", "text"))
+    own = starts.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("start").alias("starts"))
+    near = places.groupBy(F.col("doc").alias("_of")).agg(F.collect_list("place").alias("places"))
+    both = marked.join(own, (F.col("doc") == F.col("_doc")) & ~F.col("copy"), "left")
+    both = both.join(near, (F.col("doc") == F.col("_of")) & ~F.col("copy"), "left")
+    return both.select("doc_id", "text", "starts", "places", "copy").mapInArrow(
         _removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
