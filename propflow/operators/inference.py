@@ -218,13 +218,13 @@ def ask_in_waves(
     before = max(memo.generations(), default=0)
     slim = requests.where("memo_key is not null").select("memo_key", *arguments).withColumn("_prefix", memo.prefix())
     asked = sorted(r._prefix for r in slim.select("_prefix").distinct().collect())  # at most 16 ** digits
-    groups = [asked[i::waves] for i in range(waves) if asked[i::waves]]
+    groups = {i: own for i in range(waves) if (own := [p for p in asked if int(p, 16) % waves == i])}
     if len(groups) > 1:  # each wave then reads its own requests only
-        wave = F.element_at(F.create_map(*(F.lit(x) for i, group in enumerate(groups) for p in group for x in (p, i))), F.col("_prefix"))
+        wave = F.pmod(F.conv("_prefix", 16, 10).cast("int"), F.lit(waves))
         path = scratch_path(requests.sparkSession, "requests")
         slim.withColumn("_wave", wave).write.partitionBy("_wave").parquet(path)
         slim = requests.sparkSession.read.schema(f"{_ddl(slim)}, _wave int").parquet(path)
-    for i, prefixes in enumerate(groups):
+    for i, prefixes in groups.items():
         mine = slim.where(F.col("_wave") == i) if len(groups) > 1 else slim
         known = memo.latest(prefixes).where("error is null")
         unknown = memo_misses(mine, known, arguments)

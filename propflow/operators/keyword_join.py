@@ -52,18 +52,19 @@ def keyword_hits(texts: DataFrame, column: str, keywords: DataFrame, mode: str =
     if mode not in ("literal", "word"):
         raise ValueError(f"mode {mode!r}: only literal and word keywords can be indexed")
     low = texts.select(F.lower(column).alias("text")).where("text is not null")
-    distinct = materialize(low.withColumn("text_key", _text_key(F.col("text"))).dropDuplicates(["text_key"]))
+    distinct = low.withColumn("text_key", _text_key(F.col("text"))).dropDuplicates(["text_key"])
+    distinct = materialize(distinct.withColumn("key", F.monotonically_increasing_id()))  # 8 bytes go beside a gram
     sizes = [k.size for k in _entries(keywords, gram).select("size").distinct().collect()]  # at most `gram` numbers
     if not sizes:
         return distinct.select("text_key", F.lit("").alias("keyword")).where("false")
     all_grams = F.flatten(F.array(*(_grams(F.col("text"), k) for k in sorted(sizes))))
-    grams = distinct.select("text_key", F.explode(all_grams).alias("gram"))
+    grams = distinct.select("key", F.explode(all_grams).alias("gram"))
     # only grams that some keyword has go on: they are written once and read for the counts and the join
     wanted = _entries(keywords, gram).select("gram").distinct()
     grams = materialize(grams.join(wanted, "gram", "left_semi"))
     index = materialize(keyword_index(grams, keywords, gram))
-    pairs = grams.join(index, "gram").select("text_key", "keyword")
-    looked = pairs.join(distinct, "text_key")
+    pairs = grams.join(index, "gram").select("key", "keyword")
+    looked = pairs.join(distinct, "key")
     hit = F.contains("text", "keyword")
     if mode == "word":
         quoted = F.concat(F.lit("\\Q"), F.replace("keyword", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))

@@ -7,8 +7,6 @@ commit replaces it. One writer at a time.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,10 +25,6 @@ class Memo:
     def prefix(self, key: str = "memo_key"):
         return F.substring(key, 1, self.digits)
 
-    def prefixes(self) -> list[str]:
-        """All folder names there can be."""
-        return ["".join(p) for p in product("0123456789abcdef", repeat=self.digits)]
-
     def _commits(self) -> list[tuple[int, bool]]:
         """(generation, whether it holds all earlier ones), a row per commit."""
         try:
