@@ -2,7 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
 
 from propflow.llm import surrogates
 
