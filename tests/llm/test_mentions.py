@@ -2,7 +2,6 @@
 
 import re
 
-
 from propflow.llm import surrogates
 
 
