@@ -87,6 +87,41 @@ def test_intervals_equal_brute_force(spark, cells, points, intervals):
     assert found == expected
 
 
+@pytest.mark.parametrize(("cells", "points", "intervals"), [(1, 8192, 512), (7, 1, 1), (64, 3, 2), (33, 8192, 512)])
+def test_totals_of_intervals_equal_brute_force(spark, cells, points, intervals):
+    draw = np.random.default_rng(4)
+    xs = [5.0] * 100 + [float(x) for x in draw.integers(0, 90, 250)] + [None, math.nan, math.inf, -3.5, 1e300]
+    rows = [(x, None if i % 5 == 0 else (1 << 54) * (-1) ** (i // 3) + i, None if i % 3 == 0 else float(i % 11)) for i, x in enumerate(xs)]
+    ends = [(float(a), float(a + b)) for a, b in zip(draw.integers(-5, 90, 80), draw.integers(-2, 60, 80), strict=True)]
+    ends += [(5.0, 5.0), (-math.inf, math.inf), (None, 3.0), (4.0, None), (math.nan, 7.0), (9.0, 8.0), (5.0, 5.0), (200.0, 300.0)]
+    df = spark.createDataFrame(rows, "x double, k bigint, y double").repartition(4)
+    spans = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "of int, low double, high double")
+    asked = {"n": ("count", "*"), "given": ("count", "k"), "k_sum": ("sum", "k"), "least": ("min", "k"), "y_sum": ("sum", "y"), "most": ("max", "y"), "top": ("max", "x")}
+    met = range_join(df, "x", spans, "low", "high", cells, points, intervals, totals=asked)
+    found = {r.of: tuple(r)[3:] for r in met.collect()}
+    expected = {}
+    for j, (a, b) in enumerate(ends):
+        held = [r for r in rows if None not in (r[0], a, b) and not any(map(math.isnan, (r[0], a, b))) and a <= r[0] <= b]
+        ks, ys = [r[1] for r in held if r[1] is not None], [r[2] for r in held if r[2] is not None]
+        if held:
+            expected[j] = (len(held), len(ks), sum(ks) if ks else None, min(ks, default=None), sum(ys) if ys else None, max(ys, default=None), max(r[0] for r in held))
+    assert found == expected
+
+
+def test_totals_tell_apart_what_a_double_does_not_and_write_no_pairs(spark):
+    big = 1 << 60
+    df = spark.createDataFrame([(big + i,) for i in range(5)], "x bigint")
+    spans = spark.createDataFrame([(big + 1, big + 2)], "low bigint, high bigint")
+    assert range_join(df, "x", spans, "low", "high", totals={"n": ("count", "*"), "s": ("max", "x")}).first()[2:] == (2, big + 2)
+    # 4e10 pairs
+    lines = spark.range(200_000).select((F.col("id") * 0.5).alias("x"), "id")
+    wide = spark.range(200_000).select(F.col("id").alias("of"), F.lit(-1.0).alias("low"), F.lit(1e9).alias("high"))
+    met = range_join(lines, "x", wide, "low", "high", totals={"n": ("count", "*"), "s": ("sum", "id")})
+    assert met.agg(F.count("*"), F.min("n"), F.max("n"), F.max("s")).first()[:] == (200_000, 200_000, 200_000, 199_999 * 100_000)
+    with pytest.raises(ValueError, match="no total"):
+        range_join(df, "x", spans, "low", "high", totals={"n": ("median", "x")})
+
+
 def test_whole_numbers_beyond_a_double_are_told_apart(spark):
     big = 1 << 60
     df = spark.createDataFrame([(big + i,) for i in range(5)], "x bigint")
