@@ -67,6 +67,27 @@ def test_edges_of_keyword_lists(spark):
         keyword_join.keyword_hits(texts, "t", none, "regex")
 
 
+@pytest.mark.parametrize("mode", ["literal", "word"])
+def test_keywords_of_words_meet_no_text_in_vain(spark, mode, monkeypatch):
+    draw = np.random.default_rng(5)
+    syllables = ["an", "ther", "tion", "é", "x_", "9", "日本"]
+    words = sorted({"".join(draw.choice(syllables, draw.integers(1, 5))) for _ in range(400)})
+    texts = [" ".join(draw.choice(words, 30)) + draw.choice([".", "-b", "\u0301", "\u200d"]) for _ in range(25)] + ["a" * 70 + " " + "y" * 64]
+    words += ["a" * 65, "a" * 64, "y" * 64, "the.r", "ther an", "-b"]
+    df, table = spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(w,) for w in words], "w string")
+    looked = []
+    by_grams = keyword_join._gram_hits
+    monkeypatch.setattr(keyword_join, "_gram_hits", lambda d, k, *a: (looked.extend(r.keyword for r in k.collect()), by_grams(d, k, *a))[1])
+    found = {r.id: (r.n_keywords, r.first_keyword) for r in keyword_join.with_keywords(df, "t", table, mode).collect()}
+    holds = [F.col("t").contains(w) if mode == "literal" else F.col("t").rlike(f"(?U)\\b\\Q{w}\\E\\b") for w in words]
+    looks = df.select("id", F.array(*holds).alias("hit")).collect()
+    expected = {r.id: [w for w, hit in zip(words, r.hit, strict=True) if hit] for r in looks}
+    assert found == {i: (len(ws), min(ws, key=str.encode, default=None)) for i, ws in expected.items()}
+    pairs = keyword_join.keyword_hits(df, "t", table, mode)
+    assert pairs.count() == pairs.distinct().count() == sum(map(len, expected.values()))
+    assert set(looked) == {"a" * 65, "the.r", "ther an", "-b"}  # the others are joined as words
+
+
 # ---- intervals
 
 
