@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from propflow.functions.responses import parse_response
@@ -127,22 +130,44 @@ def infer(
     def call(values: tuple) -> tuple[str | None, str | None]:
         return attempt_call(model, values, patience)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [key, *arguments]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, in_flight):
+                piece = batch.slice(at, in_flight)
+                yield from zip(*(piece.column(name).to_pylist() for name in names), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[tuple] = deque()  # the calls in flight: no other rows are Python objects
+        done: list[tuple] = []
+
+        def answers() -> pa.RecordBatch:
+            arrays = [pa.array(list(values), kind) for values, kind in zip(zip(*done, strict=True), kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, [key, "result", "error"])
+
+        def settle() -> None:
+            own, answer = waiting.popleft()
+            done.append((own, *answer.result()))
+
         with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                answers = list(pool.map(call, zip(*(batch[name] for name in arguments), strict=True)))
-                yield pd.DataFrame(
-                    {
-                        key: batch[key].to_numpy(),
-                        "result": [result for result, _ in answers],
-                        "error": [error for _, error in answers],
-                    }
-                )
+            for own, *values in rows(batches):
+                waiting.append((own, pool.submit(call, tuple(values))))
+                if len(waiting) == in_flight:
+                    settle()
+                    if len(done) == in_flight:
+                        yield answers()
+            while waiting:
+                settle()
+            if done:
+                yield answers()
 
     asked = requests.select(key, *(name for name in arguments if name != key))
     asked = asked.repartition(tasks) if tasks else asked
     key_type = asked.schema[key].dataType.simpleString()
-    return asked.mapInPandas(run, f"{key} {key_type}, result string, error string")
+    kinds = [to_arrow_type(asked.schema[key].dataType), pa.string(), pa.string()]
+    return asked.mapInArrow(run, f"`{key}` {key_type}, result string, error string")
 
 
 def read_memo(spark: SparkSession, path: str) -> DataFrame:

@@ -197,3 +197,18 @@ def test_estimates_over_all_parts(spark, tmp_path):
     examples = spark.createDataFrame([("none",)], "examples_text string")
     prompts = whole_prompts(entities, rows, ["toxic"], ["o"], examples, str, str(tmp_path / "p"), part_chars=58, waves=1, digits=1)
     assert {(r.dsstox, r.part) for r in prompts.collect()} >= {("a", 0), ("a", 3), ("b", 0), ("c", 0)}
+
+
+def test_a_task_makes_python_objects_of_the_rows_in_flight_only(spark):
+    asked = spark.range(100, numPartitions=1).select(F.col("id").alias("k"), F.concat(F.lit("t"), "id").alias("text"), F.lit(None).cast("string").alias("none"))
+
+    def model(text, none):
+        if text.endswith("7"):
+            raise ValueError(text)
+        return f"{text} {none}"
+
+    answers = inference.infer(asked, "k", ["text", "none"], model, in_flight=3)
+    expected = [(i, None, f"ValueError: t{i}") if i % 10 == 7 else (i, f"t{i} None", None) for i in range(100)]
+    assert [tuple(r) for r in answers.collect()] == expected
+    assert "MapInPandas" not in answers._jdf.queryExecution().executedPlan().toString()  # it makes objects of a whole batch
+    assert inference.infer(asked.where("false"), "k", ["text", "none"], model).collect() == []
