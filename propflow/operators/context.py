@@ -78,6 +78,7 @@ def context_parts(
     ahead = pieces.select(
         F.col("_part").alias("_at"), F.col("_entity").alias("_of"), F.coalesce(F.sum("_chars").over(earlier), F.lit(0)).alias("_ahead")
     )
+    ahead = materialize(ahead)  # where it is small, Spark sees so and the lines need not move to meet it
     before = W.partitionBy("_part", "_entity").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
     local = sorted_lines.withColumn("_before", F.coalesce(F.sum(width).over(before), F.lit(0)))
     placed = local.join(ahead, (F.col("_part") == F.col("_at")) & F.col("_entity").eqNullSafe(F.col("_of")))

@@ -31,6 +31,8 @@ class Patience(NamedTuple):
 
 ONE_TRY = Patience()
 
+FEW_WAVES = 4
+
 MEMO_SCHEMA = "memo_key string, result string"
 
 
@@ -244,19 +246,22 @@ def ask_in_waves(
     slim = requests.where("memo_key is not null").select("memo_key", *arguments).withColumn("_prefix", memo.prefix())
     asked = sorted(r._prefix for r in slim.select("_prefix").distinct().collect())  # at most 16 ** digits
     groups = {i: own for i in range(waves) if (own := [p for p in asked if int(p, 16) % waves == i])}
-    if len(groups) > 1:  # each wave then reads its own requests only
+    apart = len(groups) > FEW_WAVES  # many waves read their own requests only, few read all of them again
+    if apart:
         wave = F.pmod(F.conv("_prefix", 16, 10).cast("int"), F.lit(waves))
         path = scratch_path(requests.sparkSession, "requests")
         slim.withColumn("_wave", wave).write.partitionBy("_wave").parquet(path)
         slim = requests.sparkSession.read.schema(f"{_ddl(slim)}, _wave int").parquet(path)
     for i, prefixes in groups.items():
-        mine = slim.where(F.col("_wave") == i) if len(groups) > 1 else slim
+        mine = slim.where(F.col("_wave") == i) if apart else slim.where(F.col("_prefix").isin(prefixes))
         known = memo.latest(prefixes).where("error is null")
-        unknown = memo_misses(mine, known, arguments)
-        if unknown.isEmpty():
+        if mine.select("memo_key").join(known.select("memo_key"), "memo_key", "left_anti").isEmpty():  # moves keys only
             continue
-        unknown = unknown.repartition(*([tasks] if tasks else []), F.substring("memo_key", 1, memo.digits + 1))
-        memo.commit(infer(unknown, "memo_key", arguments, model, in_flight, patience=patience))
+        unknown, home = memo_misses(mine, known, arguments), F.substring("memo_key", 1, memo.digits + 1)
+        if tasks:
+            memo.commit(infer(unknown.repartition(tasks, home), "memo_key", arguments, model, in_flight, patience=patience))
+        else:  # the answers move to their folders, not the longer requests
+            memo.commit(infer(unknown, "memo_key", arguments, model, in_flight, patience=patience).repartition(home))
     last = memo.latest(asked).withColumn("memo_hit", F.col("error").isNull() & (F.col("generation") <= before))
     return requests.join(last.drop("generation"), "memo_key", "left")
 

@@ -32,23 +32,30 @@ def reduce_parts(
     written. `asking` goes to `ask_in_waves`.
     """
     columns = [entity, name, "part", "text"]
-    todo, done = materialize(parts.select(*columns)), None
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        prompts = context.summary_prompts(rows.select(*columns, F.col("text").alias("details")), name)
+        return materialize(prompts.withColumn("memo_key", memo_key("refine", version, "prompt")).drop("prompt", "details"))
+
+    todo, done = keyed(parts), None
     while True:
-        sizes = todo.groupBy(entity).agg(F.count(F.lit(1)).alias("_parts"))
-        single = todo.join(sizes.where("_parts = 1").select(entity), entity, "left_semi")
+        sizes = materialize(todo.groupBy(entity).agg(F.count(F.lit(1)).alias("_parts")))  # few rows: no text moves to meet them
+        single = todo.join(sizes.where("_parts = 1").select(entity), entity, "left_semi").select(*columns)
         done = single if done is None else done.unionByName(single)
-        many = todo.join(sizes.where("_parts > 1"), entity)
-        if many.isEmpty():
+        asked = todo.join(sizes.where("_parts > 1").select(entity), entity, "left_semi")
+        if asked.isEmpty():
             return done.select(*columns)
-        prompts = context.summary_prompts(many.withColumnRenamed("text", "details"), name)
-        asked = prompts.withColumn("memo_key", memo_key("refine", version, "prompt")).drop("prompt")
-        asked = materialize(asked)  # the prompt holds the text: it is built again where it is sent
-        answers = inference.ask_in_waves(context.summary_prompts(asked, name), ["prompt"], refine, memo_path, **asking)
-        line = F.coalesce(F.trim("result"), F.col("details"))
-        joined = materialize(context.context_parts(answers, entity, line, ["part"], part_chars))
+        # the prompt holds the text: it is built again where it is sent
+        requests = context.summary_prompts(asked.withColumnRenamed("text", "details"), name)
+        answers = inference.ask_in_waves(requests, ["prompt"], refine, memo_path, **asking)
+        answers = answers.select(entity, "part", "memo_key", "result")  # no text moves beside its answer
+        refined = answers.where("result is not null").select(entity, "part", F.trim("result").alias("_line"))
+        failed = materialize(answers.where("result is null").select("memo_key").distinct())
+        own = asked.join(failed, "memo_key", "left_semi").select(entity, "part", F.col("text").alias("_line"))
+        joined = materialize(context.context_parts(refined.unionByName(own), entity, F.col("_line"), ["part"], part_chars))
         after = joined.groupBy(entity).agg(F.count(F.lit(1)).alias("_after"))
         before = asked.groupBy(entity, name).agg(F.count(F.lit(1)).alias("_parts")).join(after, entity)
         shorter = materialize(before.where("_after < _parts").select(entity, name))
-        stuck = asked.join(shorter.select(entity), entity, "left_anti").withColumnRenamed("details", "text")
+        stuck = asked.join(shorter.select(entity), entity, "left_anti")
         done = done.unionByName(stuck.select(*columns))
-        todo = materialize(joined.join(shorter, entity).select(*columns))
+        todo = keyed(joined.join(shorter, entity))

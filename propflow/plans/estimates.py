@@ -109,6 +109,7 @@ def whole_prompts(
     Context longer than a part is brought down to one by rounds of `refine` (see `reduce_parts`); an
     entity that these cannot shorten has a prompt for each of the parts that remain.
     """
+    entities = materialize(entities)
     parts = annotation_parts(rows, "dsstox", order, keywords, part_chars=part_chars)
     short = reduce_parts(
         parts.join(entities, "dsstox"), "dsstox", "name", refine, f"{memo_path}/reduce", version, part_chars, **asking

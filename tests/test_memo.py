@@ -212,3 +212,11 @@ def test_a_task_makes_python_objects_of_the_rows_in_flight_only(spark):
     assert [tuple(r) for r in answers.collect()] == expected
     assert "MapInPandas" not in answers._jdf.queryExecution().executedPlan().toString()  # it makes objects of a whole batch
     assert inference.infer(asked.where("false"), "k", ["text", "none"], model).collect() == []
+
+
+def test_few_waves_write_no_copy_of_the_requests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inference, "scratch_path", None)
+    asked = spark.range(40).select(F.md5(F.col("id").cast("string")).alias("memo_key"), F.col("id").cast("string").alias("text"))
+    for hit in (False, True):
+        answers = inference.ask_in_waves(asked, ["text"], str.strip, str(tmp_path / "memo"), waves=2, digits=1)
+        assert sorted((int(r.result), r.error, r.memo_hit) for r in answers.collect()) == [(i, None, hit) for i in range(40)]
