@@ -11,6 +11,8 @@ gram, whatever shard of the model that gram lies in.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,145 +59,176 @@ def _runs(column: pa.Array):
 
 
 def _counts(batches):
-    pool, held = [], 0
+    pool, held = defaultdict(list), 0
 
     def counted():
-        values, counts = np.unique(np.concatenate(pool), return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["g", "c"]
-        )
+        for fold, grams in sorted(pool.items()):
+            values, counts = np.unique(np.concatenate(grams), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(values), fold, dtype=np.int32)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))],
+                ["fold", "g", "c"],
+            )
 
     for batch in batches:
-        for _, _, gram, _ in _runs(batch.column("text")):
-            pool.append(gram)
+        folds = batch.column("fold").to_numpy()
+        for at, rows, gram, row in _runs(batch.column("text")):
+            own = folds[at : at + rows][row]
+            for fold in np.unique(own).tolist():
+                pool[fold].append(gram[own == fold])
             held += len(gram)
             if held >= POOL:
-                yield counted()
-                pool, held = [], 0
-    if held:
-        yield counted()
+                yield from counted()
+                pool, held = defaultdict(list), 0
+    yield from counted()
+
+
+def gram_counts(texts: DataFrame, folds: int) -> DataFrame:
+    """(m, g, c): how often each gram of the highest order occurs outside fold `m`; in all texts, where `m` is `folds`.
+
+    Texts (text, fold) are read once and pre-counted in the tasks.
+    """
+    counted = texts.select("fold", "text").mapInArrow(_counts, "fold int, g bigint, c bigint")
+    total = F.sum("c")
+    own = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)) for k in range(folds)]
+    models = [F.struct(F.lit(k).alias("m"), (total - part).alias("c")) for k, part in enumerate([*own, F.lit(0)])]
+    return counted.groupBy("g").agg(F.array(*models).alias("models")).select("g", F.inline("models")).where("c > 0").select("m", "g", "c")
+
 
+def _discounts(n: list[int]) -> list[float]:
+    """The discounts for counts of one, two and more, from the numbers of grams seen once to four times."""
+    n1, n2 = n[:2]
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0.5 * k for k in (1, 2, 3)]
+    return [min(max(x, 0.05), k) for k, x in enumerate(d, 1)]
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(g, c): how often each gram of the highest order occurs, pre-counted in the tasks."""
-    return texts.select("text").mapInArrow(_counts, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
+def _by_model(values: dict) -> Column:
+    """The value of the row's model."""
+    return F.element_at(F.create_map(*(x for m, v in values.items() for x in (F.lit(m), v))), F.col("m"))
 
-def _discount(counts: DataFrame) -> Column:
-    """The discount for a count, from the numbers of grams seen once to four times."""
-    row = counts.agg(*(F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    n = [0.0, *(float(row[f"n{k}"] or 0) for k in (1, 2, 3, 4))]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else 0.5 * k for k in (1, 2, 3)]
-    d = [min(max(x, 0.05), k) for k, x in enumerate(d, 1)]
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
+def train(texts: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, dict[int, float]]:
+    """The models as (m, k, g, w) rows, and by model the floor that every symbol starts from.
 
-def train(texts: DataFrame) -> tuple[DataFrame, float]:
-    """The model as (k, g, w) rows and the floor that every symbol starts from."""
-    counts = {ORDER: materialize(gram_counts(texts))}
+    Of texts (text, fold), model `m` has counted all outside fold `m`, and model `folds` all. The models go
+    through the same joins, so their number adds rows to a job but no jobs.
+    """
+    counts = {ORDER: materialize(gram_counts(texts, folds))}
     for k in range(ORDER - 1, 0, -1):  # in how many left contexts a shorter gram was seen
-        mask = (1 << (16 * k)) - 1
-        shorter = F.col("g").bitwiseAND(F.lit(mask)).alias("g")
-        counts[k] = materialize(counts[k + 1].select(shorter).groupBy("g").agg(F.count(F.lit(1)).alias("c")))
-    symbols = counts[1].count()
-    floor, below, weights = 0.0, None, []
+        shorter = F.col("g").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("g")
+        counts[k] = materialize(counts[k + 1].select("m", shorter).groupBy("m", "g").agg(F.count(F.lit(1)).alias("c")))
+    every = reduce(DataFrame.unionByName, (counts[k].select("m", F.lit(k).alias("k"), "c") for k in counts))
+    seen_so = [F.sum((F.col("c") == n).cast("long")).alias(f"n{n}") for n in (1, 2, 3, 4)]
+    sizes = every.groupBy("m", "k").agg(*seen_so, F.count(F.lit(1)).alias("grams"), F.sum("c").alias("total"))
+    discounts, floors, totals = defaultdict(dict), {}, {}
+    for r in sizes.collect():  # a row per model and order
+        n = [r.n1, r.n2, r.n3, r.n4]
+        d = discounts[r.k][r.m] = _discounts(n)
+        if r.k == 1:
+            gamma = (d[0] * n[0] + d[1] * n[1] + d[2] * (r.grams - n[0] - n[1])) / r.total
+            floors[r.m], totals[r.m] = math.log(max(gamma, 1e-12) / (r.grams + 1)), r.total
+    if not floors:
+        return counts[1].select("m", F.lit(1).alias("k"), "g", F.lit(0.0).alias("w")), {}
+    floor = _by_model({m: F.lit(x) for m, x in floors.items()})
+    below, weights = None, []
     for k in range(1, ORDER + 1):
-        context = F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long")
-        d = _discount(counts[k])
-        rows = counts[k].withColumns({"h": context, "d": F.least(d, F.col("c").cast("double"))})
-        contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        rows = rows.join(contexts, "h")
-        seen = (F.col("c") - F.col("d")) / F.col("total")
+        d = _by_model({m: F.array(*map(F.lit, x)) for m, x in discounts[k].items()})
+        rows = counts[k].withColumn("d", F.element_at(d, F.least("c", F.lit(3)).cast("int")))
         if k == 1:
-            first = contexts.first()
-            gamma = first.gamma if first else 1.0
-            floor = math.log(max(gamma, 1e-12) / (symbols + 1))
-            below = rows.select("g", F.log(seen + math.exp(floor)).alias("lp"))
-            weights.append(below.select(F.lit(1).alias("k"), "g", (F.col("lp") - floor).alias("w")))
+            seen = (F.col("c") - F.col("d")) / _by_model({m: F.lit(x) for m, x in totals.items()})
+            below = rows.select("m", "g", F.log(seen + F.exp(floor)).alias("lp"))
+            weights.append(below.select("m", F.lit(1).alias("k"), "g", (F.col("lp") - floor).alias("w")))
         else:
-            mask = F.lit((1 << (16 * (k - 1))) - 1)
-            tail = rows.withColumn("t", F.col("g").bitwiseAND(mask)).join(
-                below.select(F.col("g").alias("t"), F.col("lp").alias("lower")), "t"
-            )
+            rows = rows.withColumn("h", F.shiftrightunsigned("g", 16))
+            contexts = rows.groupBy("m", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
+            tail = F.col("g").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1))
+            lower = below.select("m", F.col("g").alias("t"), F.col("lp").alias("lower"))
             back = F.log("gamma") + F.col("lower")
-            scored = tail.withColumn("lp", F.log(seen + F.exp(back)))
-            weights.append(scored.select(F.lit(k).alias("k"), "g", (F.col("lp") - back).alias("w")))
-            weights.append(contexts.select(F.lit(k - 1).alias("k"), F.col("h").alias("g"), F.log("gamma").alias("w")))
-            below = materialize(scored.select("g", "lp"))
-    model = weights[0]
-    for part in weights[1:]:
-        model = model.unionByName(part)
-    return materialize(model.groupBy("k", "g").agg(F.sum("w").alias("w"))), floor
+            seen = (F.col("c") - F.col("d")) / F.col("total")
+            scored = rows.join(contexts, ["m", "h"]).withColumn("t", tail).join(lower, ["m", "t"]).withColumn("lp", F.log(seen + F.exp(back)))
+            weights.append(scored.select("m", F.lit(k).alias("k"), "g", (F.col("lp") - back).alias("w")))
+            weights.append(contexts.select("m", F.lit(k - 1).alias("k"), F.col("h").alias("g"), F.log("gamma").alias("w")))
+            below = materialize(scored.select("m", "g", "lp")) if k < ORDER else None
+    model = reduce(DataFrame.unionByName, weights)
+    return materialize(model.groupBy("m", "k", "g").agg(F.sum("w").alias("w"))), floors
 
 
 class Shard:
-    """Some rows of the model, by order and sorted by gram."""
+    """Some rows of the models, by model and order and sorted by gram."""
 
-    def __init__(self, rows: list):
+    def __init__(self, table: pa.Table):
+        model, order, gram, weight = (table.column(c).to_numpy() for c in ("m", "k", "g", "w"))
         self.orders = {}
-        for k in range(1, ORDER + 1):
-            own = sorted((r.g & 0xFFFFFFFFFFFFFFFF, r.w) for r in rows if r.k == k)
-            self.orders[k] = (np.array([g for g, _ in own], dtype=np.uint64), np.array([w for _, w in own]))
-
-    def _weights(self, k: int, grams: np.ndarray) -> np.ndarray:
-        keys, w = self.orders[k]
+        for m in np.unique(model).tolist():
+            for k in range(1, ORDER + 1):
+                own = np.flatnonzero((model == m) & (order == k))
+                keys = gram[own].astype(np.int64).view(np.uint64)
+                by = np.argsort(keys)
+                self.orders[m, k] = (keys[by], weight[own][by])
+
+    def _weights(self, m: int, k: int, grams: np.ndarray) -> np.ndarray:
+        keys, w = self.orders.get((m, k), ((), ()))
         if not len(keys):
             return np.zeros(len(grams))
         spot = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
         return np.where(keys[spot] == grams, w[spot], 0.0)
 
-    def start(self) -> float:
+    def start(self, m: int) -> float:
         """What the contexts before the first symbol add."""
         gram, total = 0, 0.0
         for k in range(1, ORDER):
             gram = (gram << 16) | _START
-            total += float(self._weights(k, np.array([gram], dtype=np.uint64))[0])
+            total += float(self._weights(m, k, np.array([gram], dtype=np.uint64))[0])
         return total
 
-    def sums(self, gram: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    def sums(self, m: int, gram: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         values, inverse = np.unique(gram, return_inverse=True)
-        total = self._weights(ORDER, values)
+        total = self._weights(m, ORDER, values)
         for k in range(1, ORDER):
-            total += self._weights(k, values & np.uint64((1 << (16 * k)) - 1))
+            total += self._weights(m, k, values & np.uint64((1 << (16 * k)) - 1))
         return np.bincount(row, weights=total[inverse], minlength=rows)
 
 
 def _scores(batches, shard: Shard):
-    start = shard.start()
     for batch in batches:
+        judges = batch.column("m").to_numpy()
         for at, rows, gram, row in _runs(batch.column("text")):
-            logp = shard.sums(gram, row, rows) + start
+            judge = judges[at : at + rows]
+            logp = np.zeros(rows)
+            for m in np.unique(judge).tolist():
+                own = judge[row] == m
+                logp += shard.sums(m, gram[own], row[own], rows) + np.where(judge == m, shard.start(m), 0.0)
             n = np.bincount(row, minlength=rows)
-            own = [batch.column(c).slice(at, rows) for c in ("doc_id", "lang", "key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(logp)], ["doc_id", "lang", "key", "n", "part"])
+            kept = [batch.column(c).slice(at, rows) for c in ("doc_id", "lang", "m", "key")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n), pa.array(logp)], ["doc_id", "lang", "m", "key", "n", "part"])
 
 
-def perplexities(docs: DataFrame, model: DataFrame, floor: float) -> DataFrame:
-    """(doc_id, lang, perplexity) of every row; null and empty texts hold the end symbol alone."""
+def perplexities(docs: DataFrame, model: DataFrame, floors: dict[int, float]) -> DataFrame:
+    """(doc_id, lang, m, perplexity) of every row under the model `m` it names; null and empty texts hold the end symbol alone."""
     spark = docs.sparkSession
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("m").cast("int").alias("m"), F.coalesce("text", F.lit("")).alias("text"),
     )
     size = model.count()
     shards = max(1, -(-size // SHARD_ROWS))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     parts = None
     for at in range(shards):
-        # a shard holds about SHARD_ROWS hashed rows of three numbers
-        own = model.where(F.pmod(F.xxhash64("k", "g"), F.lit(shards)) == at).collect()
+        # a shard holds about SHARD_ROWS hashed rows of four numbers
+        own = model.where(F.pmod(F.xxhash64("k", "g"), F.lit(shards)) == at).toArrow()
         shard = spark.sparkContext.broadcast(Shard(own))
         part = rows.mapInArrow(
             lambda batches, shard=shard: _scores(batches, shard.value),
-            "doc_id bigint, lang string, key bigint, n bigint, part double",
+            "doc_id bigint, lang string, m int, key bigint, n bigint, part double",
         )
         parts = part if parts is None else parts.unionByName(part)
     if shards > 1:  # rows equal in id, language and text stay as many as they were
-        parts = parts.groupBy("doc_id", "lang", "key", "n").agg(
-            (F.sum("part") * shards / F.count(F.lit(1))).alias("part"), (F.count(F.lit(1)) / shards).cast("int").alias("m")
+        parts = parts.groupBy("doc_id", "lang", "m", "key", "n").agg(
+            (F.sum("part") * shards / F.count(F.lit(1))).alias("part"), (F.count(F.lit(1)) / shards).cast("int").alias("copies")
         )
-        parts = parts.select("doc_id", "lang", "n", "part", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("_c"))
-    return parts.select("doc_id", "lang", F.exp(-(F.col("part") / F.col("n") + F.lit(floor))).alias("perplexity"))
+        parts = parts.select("doc_id", "lang", "m", "n", "part", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_c"))
+    floor = F.coalesce(_by_model({m: F.lit(x) for m, x in floors.items()}), F.lit(0.0)) if floors else F.lit(0.0)  # no text, no symbols
+    return parts.select("doc_id", "lang", "m", F.exp(-(F.col("part") / F.col("n") + floor)).alias("perplexity"))
 
 
 def language_limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -208,18 +241,9 @@ def language_limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return reached.groupBy("lang").agg(F.exp((F.min("cell") + 0.5) / GRID).alias("limit"))
 
 
-def unseen_perplexities(trusted: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """(doc_id, lang, perplexity) of trusted texts, each under a model that counted the other folds only.
-
-    Equal texts share a fold, so none is judged by its own copy.
-    """
-    dealt = trusted.withColumn("_fold", F.pmod(F.xxhash64("text"), F.lit(folds)))
-    parts = None
-    for k in range(folds):
-        model, floor = train(dealt.where(F.col("_fold") != k))
-        part = perplexities(dealt.where(F.col("_fold") == k), model, floor)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+def dealt(texts: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Adds `fold`; equal texts share one, so none is judged by its own copy."""
+    return texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -233,10 +257,12 @@ def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     good = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct())
     if good.count() <= BROADCAST_IDS:  # else Spark picks the join
         good = F.broadcast(good)
-    trusted = docs.join(good, F.col("doc_id") == F.col("_good"), "left_semi")
-    model, floor = train(trusted)
-    scored = materialize(perplexities(docs, model, floor))
-    known = materialize(unseen_perplexities(trusted))
+    trusted = dealt(docs.join(good, F.col("doc_id") == F.col("_good"), "left_semi"))
+    models, floors = train(trusted)
+    own = ["doc_id", "lang", "text"]
+    asked = docs.select(*own, F.lit(FOLDS).alias("m")).unionByName(trusted.select(*own, F.col("fold").alias("m")))
+    judged = materialize(perplexities(asked, models, floors))
+    scored, known = judged.where(F.col("m") == FOLDS), judged.where(F.col("m") < FOLDS)
     limits = language_limits(known, quantile).select(F.col("lang").alias("_lang"), "limit")
     overall = language_limits(known.withColumn("lang", F.lit("all")), quantile).select(F.col("limit").alias("_any"))
     both = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall), how="left")

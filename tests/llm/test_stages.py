@@ -87,3 +87,28 @@ def test_good_text_that_the_model_never_saw_is_kept(spark):
     good, noise = ([found[r.doc_id] for r in marks if r.quality == q] for q in (1, 0))
     assert sum(good) >= 0.95 * len(good)
     assert sum(noise) <= 0.2 * len(noise)
+
+
+def test_models_of_all_folds_are_trained_at_once(spark):
+    texts = [None, "", "ab", "ab", "abab ba", "été 日本", "b" * 50, "a b c", "abba", "cab"]
+    docs = perplexity.dealt(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 3)
+    models, floors = perplexity.train(docs, 3)
+    found = {(r.m, r.k, r.g): r.w for r in models.collect()}
+    assert sorted(floors) == [0, 1, 2, 3]
+    for m in range(4):
+        alone, floor = perplexity.train(docs.where(F.col("fold") != m).withColumn("fold", F.lit(0)), 1)
+        own = {(r.k, r.g): r.w for r in alone.where("m = 1").collect()}
+        assert own == pytest.approx({(k, g): w for (model, k, g), w in found.items() if model == m})
+        assert floor[1] == pytest.approx(floors[m])
+
+
+def test_unseen_limits_need_few_jobs(spark, edge):
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id bigint, quality int")
+    context = spark.sparkContext
+    context.setJobGroup("judged", "one training for all folds")
+    try:
+        assert perplexity.quality_report(edge, labels).count() == edge.count()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("judged"))
+    assert jobs <= 90
