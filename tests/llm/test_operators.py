@@ -1,8 +1,10 @@
 """Edge rows and brute force for the training-data operators."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from propflow.llm import (
     toxicity,
 )
 from propflow.llm.queries import ORACLE, QUERIES
+from propflow.session import shared_folder
 from tools.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -171,6 +174,39 @@ def test_removal_of_texts_that_share_an_id_or_have_none(spark):
     assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in found) == expected
 
 
+def near_copies():
+    prose = [" ".join(f"w{(i * i + 77 * d) % 99991}" for i in range(900)) for d in range(40)]
+    edited = [t[:1500] + "#" * (d % 3 + 1) + t[1500 + d : 4000] + "%" + t[4001:] for d, t in enumerate(prose[:12])]
+    return prose + edited + [t[:1490] + "!" + t[1500:] for t in prose[:12]]
+
+
+def test_rows_given_twice_count_once(spark):
+    texts = list(enumerate(near_copies()))
+    frame = spark.createDataFrame(texts * 2, "doc_id bigint, text string")
+    found = [(r.doc_id, tuple(r)[1:]) for r in suffix_dedup.removal_report(frame).collect()]
+    assert sorted(found) == sorted([*brute_force_removal(texts).items()] * 2)
+
+
+def test_removal_is_the_same_when_no_table_is_small(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SENT", 0)
+    texts = [(d, t) for d, t in enumerate([*near_copies(), *near_copies()[:3]])]
+    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removal_report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert found == brute_force_removal(texts)
+
+
+def test_removal_writes_less_than_the_texts(spark):
+    """Without repeats, neither the texts nor their grams go to the shared folder."""
+    rng = random.Random(7)
+    texts = [(d, "".join(rng.choices("abcdefgh ", k=20000))) for d in range(200)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    folder = Path(shared_folder(spark))
+    before = sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    found = suffix_dedup.removal_report(frame).collect()
+    written = sum(p.stat().st_size for p in folder.rglob("*.parquet")) - before
+    assert all(r.n_removed == 0 for r in found) and len(found) == len(texts)
+    assert written < 0.1 * sum(len(t) for _, t in texts)
+
+
 def test_shards_move_only_into_the_new_one(spark):
     found = QUERIES["op6_hash_tree"](spark, SF).collect()
     assert {r.grown_shard for r in found if r.grown_shard != r.shard} <= {16}
